@@ -306,7 +306,7 @@ def route_distance_join(spark, folder) -> DataFrame:
 select row_key, origin_icao, origin_city, origin_state_code, origin_state_name from enriched_all where model <> 'real'"""))
 def airport_join_origin(spark, folder) -> DataFrame:
     full = fx.records(spark, folder)
-    places = fx.written(en.airport_dimension(full, REL, fx.KEY))
+    places = fx.written(en.airport_dimension(full, REL))
     joined = en.join_places(fx.candidates_generated(full), places, REL, "origin", "origin")
     return joined.select(fx.KEY, "origin_icao", "origin_city", "origin_state_code", "origin_state_name")
 
@@ -315,7 +315,7 @@ def airport_join_origin(spark, folder) -> DataFrame:
 select row_key, dest_icao, dest_city, dest_state_code, dest_state_name from enriched_all where model <> 'real'"""))
 def airport_join_dest(spark, folder) -> DataFrame:
     full = fx.records(spark, folder)
-    places = fx.written(en.airport_dimension(full, REL, fx.KEY))
+    places = fx.written(en.airport_dimension(full, REL))
     joined = en.join_places(fx.candidates_generated(full), places, REL, "dest", "destination")
     return joined.select(fx.KEY, "dest_icao", "dest_city", "dest_state_code", "dest_state_name")
 
@@ -346,7 +346,7 @@ def enrich_and_clean(spark, folder) -> DataFrame:
 
 @query("d1_airport_dimension", SQL("select * from airports"))
 def airport_dimension(spark, folder) -> DataFrame:
-    return en.airport_dimension(fx.records(spark, folder), REL, fx.KEY)
+    return en.airport_dimension(fx.records(spark, folder), REL)
 
 
 @query("d2_route_dimension", SQL("select * from routes"))

@@ -154,7 +154,7 @@ def route_history(full: DataFrame) -> DataFrame:
 
 
 def dimensions(full: DataFrame):
-    return en.history_dimensions(full, route_history(full), RELATIONS, KEY)
+    return en.history_dimensions(full, route_history(full), RELATIONS)
 
 
 def real_generated(full: DataFrame) -> DataFrame:
@@ -190,11 +190,11 @@ routes as (
   where status in ('D', 'O') and order_day < timestamp '{CUT_OFF}'
 ), airports as (
   select place_id, icao, city, state_code, state_name from (
-    select *, row_number() over (partition by place_id order by side, row_key) as rn from (
+    select *, row_number() over (partition by place_id order by side, icao, city, state_code, state_name) as rn from (
       select origin as place_id, origin_icao as icao, origin_city as city, origin_state_code as state_code,
-             origin_state_name as state_name, 0 as side, row_key from record
+             origin_state_name as state_name, 0 as side from record
       union all
-      select destination, dest_icao, dest_city, dest_state_code, dest_state_name, 1, row_key from record))
+      select destination, dest_icao, dest_city, dest_state_code, dest_state_name, 1 from record))
   where rn = 1
 ), pool as (
   select row_key, 'real' as model, {', '.join(GENERATED)} from record where status = 'D'

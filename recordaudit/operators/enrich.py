@@ -30,22 +30,21 @@ def place_columns(df: DataFrame, rel: Relations, prefix: str, id_column: str) ->
         {id_column: PLACE, **{rel.place_column(prefix, a): a for a in rel.place_attributes}})
 
 
-def airport_dimension(history: DataFrame, rel: Relations, key: str) -> DataFrame:
-    """One row per place from origins and destinations; origin rows win, then the smallest key.
+def airport_dimension(history: DataFrame, rel: Relations) -> DataFrame:
+    """One row per place from origins and destinations; origin rows win, then the smallest text.
 
-    ``min_by`` combines on the map side, so a place that occurs in a third of the rows sends one
-    row per task.
+    ``distinct`` shrinks the history to a few rows per place on the map side (hash aggregation),
+    so the pick of the first row works on a small table.
     """
     sides = []
     for rank, (prefix, id_column) in enumerate(
             ((rel.origin_prefix, rel.origin), (rel.destination_prefix, rel.destination))):
         own = [rel.place_column(prefix, a) for a in rel.place_attributes]
-        side = place_columns(history.select(key, id_column, *own), rel, prefix, id_column)
+        side = place_columns(history.select(id_column, *own), rel, prefix, id_column)
         sides.append(side.withColumn("_side", F.lit(rank)))
-    first = F.min_by(F.struct(*rel.place_attributes), F.struct("_side", key)).alias("place")
-    return (
-        sides[0].unionByName(sides[1]).groupBy(PLACE).agg(first).select(PLACE, "place.*")
-    )
+    versions = sides[0].unionByName(sides[1]).distinct()
+    first = F.min(F.struct("_side", *rel.place_attributes)).alias("place")
+    return versions.groupBy(PLACE).agg(first).select(PLACE, "place.*").drop("_side")
 
 
 def join_routes(df: DataFrame, routes: DataFrame, rel: Relations) -> DataFrame:
@@ -87,10 +86,10 @@ def add_delay_labels(df: DataFrame, rel: Relations) -> DataFrame:
     return df.withColumns({name: delay_label(delta) for name, delta in rel.delay_labels})
 
 
-def history_dimensions(history: DataFrame, route_history: DataFrame, rel: Relations, key: str):
+def history_dimensions(history: DataFrame, route_history: DataFrame, rel: Relations):
     """Routes and places, each computed once and written, so joins see their true size."""
     return (written(route_dimension(route_history, rel)),
-            written(airport_dimension(history, rel, key)))
+            written(airport_dimension(history, rel)))
 
 
 def enrich(df: DataFrame, routes: DataFrame, places: DataFrame, rel: Relations, keep=()) -> DataFrame:

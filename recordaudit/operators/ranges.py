@@ -67,19 +67,24 @@ def with_range(df: DataFrame, part: str, value: str, bounds: dict[str, list]) ->
 
 
 def running(df: DataFrame, by: list[str], order: list, measures: dict[str, str],
-            how: str = "sum", before: bool = False) -> DataFrame:
+            how: str = "sum", before: bool = False, totals: dict[str, str] | None = None) -> DataFrame:
     """Running ``sum`` or ``max`` of the measures over ``order`` within ``by``.
 
     ``df`` carries the range column. ``measures`` maps the new column to its source. With
     ``before`` the current row (rows in strict order) is left out, otherwise peers are included.
+    ``totals`` maps further columns to sources that are summed over the whole of ``by``; they come
+    from the sums per range, so no join on a possibly hot ``by`` value is needed.
     """
+    totals = totals or {}
     combine = {"sum": F.sum, "max": F.max}[how]
     per_range = df.groupBy(*by, RANGE).agg(
-        *[combine(source).alias(f"_{name}_base") for name, source in measures.items()])
+        *[combine(source).alias(f"_{name}_base") for name, source in measures.items()],
+        *[F.sum(source).alias(name) for name, source in totals.items()])
     earlier = W.partitionBy(*by).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
     bases = per_range.select(
         *by, RANGE,
-        *[combine(f"_{name}_base").over(earlier).alias(f"_{name}_base") for name in measures])
+        *[combine(f"_{name}_base").over(earlier).alias(f"_{name}_base") for name in measures],
+        *[F.sum(name).over(W.partitionBy(*by)).alias(name) for name in totals])
     inside = W.partitionBy(*by, RANGE).orderBy(*order)
     inside = (inside.rowsBetween(W.unboundedPreceding, -1) if before
               else inside.rangeBetween(W.unboundedPreceding, W.currentRow))
@@ -105,8 +110,7 @@ def exact_quantiles(df: DataFrame, part: str, value: str, shares: list[float]) -
     present = df.where(F.col(value).isNotNull())
     counts = present.groupBy(part, value).agg(F.count("*").alias("_n"))
     ranged = with_range(counts, part, value, numeric_bounds(present, part, value))
-    reach = running(ranged, [part], [value], {"_upto": "_n"})
-    totals = present.groupBy(part).agg(F.count("*").alias("n"))
+    reach = running(ranged, [part], [value], {"_upto": "_n"}, totals={"n": "_n"})
     wanted = F.array(*[F.lit(float(s)) for s in shares])
     place = F.col("share") * (F.col("n") - 1)
     low, high = F.floor(place), F.ceil(place)
@@ -115,8 +119,7 @@ def exact_quantiles(df: DataFrame, part: str, value: str, shares: list[float]) -
     covers = F.filter(wanted, lambda s: (F.ceil(s * (F.col("n") - 1)) >= first)
                       & (F.floor(s * (F.col("n") - 1)) <= last))
     hits = (
-        reach.join(totals, part)
-        .withColumn("_hits", covers)
+        reach.withColumn("_hits", covers)
         .where(F.size("_hits") > 0)
         .withColumn("share", F.explode("_hits"))
         .withColumn("_low", F.when(low.between(first, last), F.col(value)))
@@ -128,8 +131,9 @@ def exact_quantiles(df: DataFrame, part: str, value: str, shares: list[float]) -
                        (F.col("_low") + (F.col("_high") - F.col("_low")) * weight).alias(value), "n")
 
 
-def hash_rank(df: DataFrame, by: list[str], key: str, seed, name: str = "hash_rank") -> DataFrame:
-    """Rank 0, 1, 2 … of each row within ``by`` in the order of its hash-uniform number.
+def hash_rank(df: DataFrame, by: list[str], key: str, seed) -> DataFrame:
+    """Add ``hash_rank`` (0, 1, 2 … within ``by`` in the order of a hash-uniform number) and
+    ``group_size``.
 
     The uniform number itself gives evenly filled ranges, however large one class is.
     """
@@ -139,5 +143,6 @@ def hash_rank(df: DataFrame, by: list[str], key: str, seed, name: str = "hash_ra
         .withColumn(RANGE, F.floor(F.col("_u") * n).cast("int"))
         .withColumn("_one", F.lit(1).cast("bigint"))
     )
-    ranked = running(ranged, by, ["_u", key], {name: "_one"}, before=True)
+    ranked = running(ranged, by, ["_u", key], {"hash_rank": "_one"}, before=True,
+                     totals={"group_size": "_one"})
     return ranked.drop("_u", "_one", RANGE)
