@@ -5,7 +5,7 @@ Every view exists twice: as a DataFrame and as a SQL common table expression.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F  # noqa: F401
 
 from recordaudit.operators import enrich as en
 from recordaudit.operators.prep import binary_label, drop_cancelled, rare_class
@@ -175,6 +175,12 @@ def historical(full: DataFrame) -> DataFrame:
                                             RELATIONS), [KEY, *ENRICHED])
 
 
+def historical_labels(full: DataFrame) -> DataFrame:
+    """(key, model, label) of all rare and ordinary rows."""
+    rows = binary_label(full.where(F.col("status").isin("D", "O")), "label")
+    return rows.select(KEY, "model", "label")
+
+
 def real_and_candidates(spark: SparkSession, folder: str, write: bool = False):
     """Enriched and cleaned real rare rows and candidates."""
     full = records(spark, folder)

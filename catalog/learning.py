@@ -101,7 +101,7 @@ def ordinal_encode(spark, folder) -> DataFrame:
     return encode.ordinal_encode(both.select(KEY, "model", *fx.ENCODED), dictionary, fx.ENCODED)
 
 
-KEPT = [c for c in fx.ENRICHED if c not in fx.LEAKAGE]
+LEAKAGE_FREE = KEPT = [c for c in fx.ENRICHED if c not in fx.LEAKAGE]
 
 
 def prepared_select(source: str) -> str:
