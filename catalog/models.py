@@ -172,17 +172,18 @@ def utility_score(spark, folder) -> DataFrame:
 
 RESULTS_SQL = """with per_size as (
   select model, 300 * (1 + cast(tail as bigint) % 26) as size_before, count(*) as size_after,
-    round(avg(air_time) / 525, 6) as pr_auc, round(avg(taxi_out) / 20, 6) as normalised_mcc
+    round(avg(air_time) / 527, 6) as pr_auc, round(avg(taxi_out) / 21, 6) as normalised_mcc
   from cand group by 1, 2),
 results as (
   select *, (size_before // 300) % 3 as file_no from per_size
-  union all select 'TRTR', null, null, round(avg(air_time) / 525, 6), round(avg(taxi_out) / 20, 6), unnest([0, 1, 2]) from real group by all)"""
+  union all select 'TRTR', null, null, pr_auc, normalised_mcc, file_no from (
+    select round(avg(air_time) / 527, 6) as pr_auc, round(avg(taxi_out) / 21, 6) as normalised_mcc from real), (values (0), (1), (2)) f(file_no))"""
 
 
 def result_files(spark, folder) -> list[str]:
     """Three result files of measurements per model and size; each repeats the baseline row."""
     real, candidates = pools(spark, folder)
-    marks = [F.round(F.avg("air_time") / 525, 6).alias("pr_auc"), F.round(F.avg("taxi_out") / 20, 6).alias("normalised_mcc")]
+    marks = [F.round(F.avg("air_time") / 527, 6).alias("pr_auc"), F.round(F.avg("taxi_out") / 21, 6).alias("normalised_mcc")]
     per_size = fx.written(candidates.groupBy(
         "model", (300 * (1 + F.col("tail").cast("bigint") % 26)).alias("size_before")).agg(
         F.count("*").alias("size_after"), *marks))
@@ -288,10 +289,10 @@ def trials(spark, folder) -> DataFrame:
         F.col("p_partkey").alias("trial"), (300 + 100 * F.floor(trial_number("epochs") * 58)).alias("epochs"),
         (32 * (1 + F.floor(trial_number("dim") * 8))).alias("embedding_dim"),
         (50 * (1 + F.floor(trial_number("batch") * 10))).alias("batch_size"),
-        *[F.when(trial_number(f"{t} known") >= 0.05, F.round(trial_number(t), 4)).alias(t) for t in SCORE_TAGS],
+        *[F.when(trial_number(f"{t} known") >= 0.05, F.round(trial_number(t), 6)).alias(t) for t in SCORE_TAGS],
         (trial_number("value known") >= 0.1).alias("finished"))
     mean = sum((F.coalesce(F.col(t), F.lit(0.0)) * 0.25 for t in SCORE_TAGS), F.lit(0.0))
-    return scored.withColumn("value", F.when(F.col("finished"), F.round(mean, 6))).drop("finished")
+    return scored.withColumn("value", F.when(F.col("finished"), F.round(mean, 9))).drop("finished")
 
 
 def trial_sql(tag: str) -> str:
@@ -303,9 +304,9 @@ TRIALS_SQL = f"""with raw as (
     cast(300 + 100 * floor({trial_sql('epochs')} * 58) as bigint) as epochs,
     cast(32 * (1 + floor({trial_sql('dim')} * 8)) as bigint) as embedding_dim,
     cast(50 * (1 + floor({trial_sql('batch')} * 10)) as bigint) as batch_size,
-    {', '.join(f"case when {trial_sql(t + ' known')} >= 0.05 then round({trial_sql(t)}, 4) end as {t}" for t in SCORE_TAGS)},
+    {', '.join(f"case when {trial_sql(t + ' known')} >= 0.05 then round({trial_sql(t)}, 6) end as {t}" for t in SCORE_TAGS)},
     {trial_sql('value known')} >= 0.1 as finished from part),
-trials as (select * exclude (finished), case when finished then round(0.0::double + {' + '.join(f'coalesce({t}, 0) * 0.25::double' for t in SCORE_TAGS)}, 6) end as value from raw),
+trials as (select * exclude (finished), case when finished then round(0.0::double + {' + '.join(f'coalesce({t}, 0) * 0.25::double' for t in SCORE_TAGS)}, 9) end as value from raw),
 done as (select * replace ({', '.join(f'coalesce({t}, 0) as {t}' for t in SCORE_TAGS)}) from trials where value is not null)"""
 # Trials are made up of one table only, so the shared views are not needed.
 
@@ -355,7 +356,7 @@ select study, trial, value, round(speed, 6) as speed from points a where not exi
   select 1 from points b where b.study = a.study and b.value >= a.value and b.speed >= a.speed and (b.value > a.value or b.speed > a.speed))""")
 def pareto_front(spark, folder) -> DataFrame:
     points = done_trials(spark, folder).select("study", "trial", "value", sc.speed_score("epochs", "embedding_dim").alias("speed"))
-    return fx.rounded(sel.pareto_front(points, "study", "trial", "value", "speed"))
+    return fx.rounded(sel.pareto_front(points, "study", "trial", "value", "speed"), without=["value"])
 
 
 PARAMS = ("epochs", "embedding_dim", "batch_size")
@@ -365,7 +366,7 @@ PARAMS = ("epochs", "embedding_dim", "batch_size")
     f"select study, '{p}' as param, cast({p} as double) as param_value, value from done" for p in PARAMS) + """)
 select study, param, param_value, count(*) as n, round(avg(value), 6) as mean_value, max(value) as best_value from long group by study, param, param_value""")
 def param_slices(spark, folder) -> DataFrame:
-    return fx.rounded(sel.param_slices(done_trials(spark, folder), "study", PARAMS))
+    return fx.rounded(sel.param_slices(done_trials(spark, folder), "study", PARAMS), without=["best_value"])
 
 
 @query("l5_param_contour", TRIALS_SQL + "select study, epochs, embedding_dim, count(*) as n, max(value) as best_value from done group by all")
