@@ -148,13 +148,17 @@ places as (
 CUT_OFF = "1996-01-01"
 
 
-def route_history(full: DataFrame) -> DataFrame:
+def is_route_history():
     """Flown rows up to the cut-off, from which the known routes are taken."""
-    return full.where(F.col("status").isin("D", "O") & (F.col("order_day") < F.lit(CUT_OFF).cast("timestamp_ntz")))
+    return F.col("status").isin("D", "O") & (F.col("order_day") < F.lit(CUT_OFF).cast("timestamp_ntz"))
+
+
+def route_history(full: DataFrame) -> DataFrame:
+    return full.where(is_route_history())
 
 
 def dimensions(full: DataFrame):
-    return en.history_dimensions(full, route_history(full), RELATIONS)
+    return en.history_dimensions(full, is_route_history(), RELATIONS)
 
 
 def real_generated(full: DataFrame) -> DataFrame:
@@ -181,13 +185,34 @@ def historical_labels(full: DataFrame) -> DataFrame:
     return rows.select(KEY, "model", "label")
 
 
+_prepared: dict[tuple[str, str], DataFrame] = {}
+
+
+def prepared_tables(spark: SparkSession, folder: str):
+    """The same tables written once per session: preparation is a stage of its own, and every
+    evaluation starts from its result."""
+    pin_utc(spark)
+    place = (spark.sparkContext.applicationId, folder)
+    if place not in _prepared:
+        _prepared[place] = written(_pool(spark, folder))
+    return _split_pool(_prepared[place])
+
+
 def real_and_candidates(spark: SparkSession, folder: str, write: bool = False):
-    """Enriched and cleaned real rare rows and candidates."""
+    """Enriched and cleaned real rare rows and candidates, from one scan of both."""
+    return prepared_tables(spark, folder) if write else _split_pool(_pool(spark, folder))
+
+
+def _split_pool(pool: DataFrame):
+    return pool.where(F.col("model") == "real").drop("model"), pool.where(F.col("model") != "real")
+
+
+def _pool(spark: SparkSession, folder: str) -> DataFrame:
     full = records(spark, folder)
     routes, places = dimensions(full)
-    real = en.enrich_and_clean(real_generated(full), routes, places, RELATIONS, [KEY])
-    candidates = en.enrich_and_clean(candidates_generated(full), routes, places, RELATIONS, [KEY, "model"])
-    return (written(real), written(candidates)) if write else (real, candidates)
+    rare = full.where(F.col("status").isin("D", "S")).withColumn("diverted", F.lit(1)).withColumn(
+        "model", F.when(F.col("status") == "D", "real").otherwise(F.col("model")))
+    return en.enrich_and_clean(rare.select(KEY, "model", *GENERATED), routes, places, RELATIONS, [KEY, "model"])
 
 
 POOL_SQL = f"""

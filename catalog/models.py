@@ -72,7 +72,7 @@ upto as (select *, sum(n) over w as n_upto, sum(hits) over w as hits_upto, sum(h
   from steps window w as (partition by model order by score desc))
 select model, round(sum((hits / positives) * (hits_upto / n_upto)), 6) as average_precision from upto group by model"""))
 def average_precision(spark, folder) -> DataFrame:
-    return fx.rounded(metrics.average_precision(scored_rows(spark, folder), "model"))
+    return fx.rounded(metrics.average_precision(fx.written(scored_rows(spark, folder)), "model"))
 
 
 MCC_SQL = """(cast(tp as double) * tn - cast(fp as double) * fn)
@@ -134,9 +134,9 @@ def fidelity_tables(spark, folder):
 
 def utility_tables(spark, folder):
     full = fx.records(spark, folder)
-    _, candidates = fx.real_and_candidates(spark, folder)
+    _, candidates = pools(spark, folder)
     real, candidates = encode.prepare_for_prediction(
-        fx.historical(full), candidates, fx.ENCODED, fx.LEAKAGE, without=[KEY, "model"])
+        fx.written(fx.historical(full)), candidates, fx.ENCODED, fx.LEAKAGE, without=[KEY, "model"])
     real, candidates = fx.written(real), fx.written(candidates)
     return without_nulls(real, candidates, ["dep_delta"])
 

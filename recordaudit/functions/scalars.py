@@ -31,7 +31,7 @@ def delay_label(delta) -> Column:
 
 def epoch_seconds(ts) -> Column:
     """Seconds since 1970 in UTC, floored toward minus infinity."""
-    return F.unix_timestamp(F.col(ts).cast("timestamp"))
+    return F.unix_seconds(F.col(ts).cast("timestamp"))
 
 
 def epoch_micros(ts) -> Column:

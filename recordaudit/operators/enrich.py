@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from recordaudit.functions.scalars import delay_label, iso_weekday, plus_minutes, quarter
 from recordaudit.operators.prep import project_order
@@ -86,10 +86,17 @@ def add_delay_labels(df: DataFrame, rel: Relations) -> DataFrame:
     return df.withColumns({name: delay_label(delta) for name, delta in rel.delay_labels})
 
 
-def history_dimensions(history: DataFrame, route_history: DataFrame, rel: Relations):
-    """Routes and places, each computed once and written, so joins see their true size."""
-    return (written(route_dimension(route_history, rel)),
-            written(airport_dimension(history, rel)))
+def history_dimensions(history: DataFrame, is_route_history: Column, rel: Relations):
+    """Routes (from the rows that qualify) and places, from one scan of the history.
+
+    The distinct versions of a route with its place attributes are written once; both dimensions
+    are then taken from that small table and written, so joins see their true size.
+    """
+    names = [rel.origin, rel.destination, rel.distance]
+    names += [rel.place_column(p, a) for p in (rel.origin_prefix, rel.destination_prefix)
+              for a in rel.place_attributes]
+    versions = written(history.select(*names, is_route_history.alias("_flown")).distinct())
+    return (written(route_dimension(versions.where("_flown"), rel)), written(airport_dimension(versions, rel)))
 
 
 def enrich(df: DataFrame, routes: DataFrame, places: DataFrame, rel: Relations, keep=()) -> DataFrame:

@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from recordaudit.session import written
 
@@ -70,7 +70,7 @@ def _with_box(df: DataFrame, tree: SplitTree, features: list[str]) -> DataFrame:
     def place(rows: pd.DataFrame) -> pd.Series:
         return pd.Series(tree.place(rows.to_numpy(dtype=float)).astype("int32"))
 
-    return df.withColumn("box", place(F.struct(*features)))
+    return df.withColumn("box", F.coalesce(place(F.struct(*features)), F.lit(0)))
 
 
 def _closest(queries: np.ndarray, points: np.ndarray, k: int, own: np.ndarray | None):
@@ -145,6 +145,16 @@ def _best(found: DataFrame, key: str, k: int) -> DataFrame:
     return found.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("best"))
 
 
+def _distinct_points(points: DataFrame, key: str, features: list[str], keep: int) -> DataFrame:
+    """At most ``keep`` rows, those with the smallest keys, per distinct point.
+
+    Equal points tie in distance and ties fall to the smaller key, so the others cannot be among
+    the answers. Spark limits each group already before the shuffle.
+    """
+    place = F.row_number().over(W.partitionBy(*features).orderBy(key))
+    return points.withColumn("_copy", place).where(F.col("_copy") <= keep).drop("_copy")
+
+
 def nearest(queries: DataFrame, points: DataFrame, key: str, features, k: int = 1,
             exclude_self: bool = False) -> DataFrame:
     """(key, rank 1…k, neighbour, distance) by Euclidean distance, exact, ties by neighbour key.
@@ -154,7 +164,8 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, features, k: int =
     """
     features = list(features)
     columns = [F.col(key).cast("string").alias(key), *[F.col(c).cast("double").alias(c) for c in features]]
-    points, queries = written(points.select(columns)), written(queries.select(columns))
+    points = written(_distinct_points(points.select(columns), key, features, k + int(exclude_self)))
+    queries = written(queries.select(columns))
     boxes = max(1, min(MAX_BOXES, math.ceil(points.count() / GROUP_ROWS)))
     sample = points.orderBy(F.xxhash64(key), key).limit(SAMPLE_PER_BOX * boxes).select(features).toPandas()
     tree = SplitTree(sample.to_numpy(dtype=float), boxes)

@@ -63,7 +63,9 @@ def with_range(df: DataFrame, part: str, value: str, bounds: dict[str, list]) ->
             found[positions] = np.searchsorted(edges, values.to_numpy()[positions], side="right")
         return pd.Series(found)
 
-    return df.withColumn(RANGE, find(F.col(part), F.col(value)))
+    # Never null, so that a later join on the range adds no null filter; such a filter would be
+    # pushed below the caller's aggregation and run the lookup on every raw row.
+    return df.withColumn(RANGE, F.coalesce(find(F.col(part), F.col(value)), F.lit(0)))
 
 
 def running(df: DataFrame, by: list[str], order: list, measures: dict[str, str],
@@ -140,7 +142,7 @@ def hash_rank(df: DataFrame, by: list[str], key: str, seed) -> DataFrame:
     n = range_count(df.sparkSession)
     ranged = (
         df.withColumn("_u", hash_uniform(seed, key))
-        .withColumn(RANGE, F.floor(F.col("_u") * n).cast("int"))
+        .withColumn(RANGE, F.coalesce(F.floor(F.col("_u") * n).cast("int"), F.lit(0)))
         .withColumn("_one", F.lit(1).cast("bigint"))
     )
     ranked = running(ranged, by, ["_u", key], {"hash_rank": "_one"}, before=True,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from recordaudit.operators import enrich as en
 from recordaudit.operators.copula import Copula, multi_size_sample
@@ -26,10 +26,10 @@ class Prepared:
     places: DataFrame
 
 
-def prepare_tables(raw: DataFrame, route_history: DataFrame, generated, dropped, rel: Relations, spec: Spec) -> Prepared:
+def prepare_tables(raw: DataFrame, is_route_history: Column, generated, dropped, rel: Relations, spec: Spec) -> Prepared:
     flown = simplify(raw, spec.label, dropped)
     rare = rare_class(flown, spec.label).select(spec.key, *generated)
-    routes, places = en.history_dimensions(raw, route_history, rel)
+    routes, places = en.history_dimensions(raw, is_route_history, rel)
     return Prepared(flown, rare, en.enrich_and_clean(rare, routes, places, rel, [spec.key]), routes, places)
 
 
