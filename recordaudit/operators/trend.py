@@ -19,15 +19,15 @@ def _local_fit(x: np.ndarray, y: np.ndarray, trust: np.ndarray, share: float) ->
     with np.errstate(divide="ignore", invalid="ignore"):
         closeness = np.where(reach > 0, gap / reach, np.where(gap > 0, 1.0, 0.0))
     weight = np.where(closeness < 1, (1 - closeness ** 3) ** 3, 0.0) * trust[None, :]
-    total = weight.sum(axis=1)
-    total = np.where(total > 0, total, 1.0)
+    mass = weight.sum(axis=1)
+    total = np.where(mass > 0, mass, 1.0)
     mean_x, mean_y = weight @ x / total, weight @ y / total
     off = x[None, :] - mean_x[:, None]
     spread = (weight * off ** 2).sum(axis=1)
     joint = (weight * off * y[None, :]).sum(axis=1)
     flat = spread <= 1e-12 * max(1.0, np.ptp(x)) ** 2
     slope = np.where(flat, 0.0, joint / np.where(flat, 1.0, spread))
-    return mean_y + slope * (x - mean_x)
+    return np.where(mass > 0, mean_y + slope * (x - mean_x), y)  # no trusted point near: keep y
 
 
 def lowess(x: np.ndarray, y: np.ndarray, share: float = SHARE, passes: int = ROBUST_PASSES) -> np.ndarray:
