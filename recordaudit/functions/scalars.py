@@ -85,12 +85,19 @@ def variant_state(name) -> Column:
     return F.lower(F.split(F.col(name), "_").getItem(3))
 
 
-def hash_uniform(seed, *parts) -> Column:
-    """Uniform in [0, 1) from an md5 of the parts and the seed.
+HASH_BITS = 52
+
+
+def hash_bits(seed, *parts) -> Column:
+    """The first 52 bits of an md5 of the parts and the seed.
 
     Depends on the row's own values only, so any partitioning and any retry gives the same number.
     """
     columns = [F.col(p) if isinstance(p, str) else p for p in parts]
     text = F.concat_ws("|", *[c.cast("string") for c in columns], F.lit(str(seed)))
-    bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
-    return bits / F.lit(float(2 ** 52))
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def hash_uniform(seed, *parts) -> Column:
+    """The same bits as a uniform number in [0, 1)."""
+    return hash_bits(seed, *parts) / F.lit(float(2 ** HASH_BITS))

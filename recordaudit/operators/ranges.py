@@ -8,14 +8,18 @@ distinct values beforehand, so a hot value is one row here.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from recordaudit.functions.scalars import hash_uniform
+from recordaudit.functions.scalars import HASH_BITS, hash_bits, hash_uniform
 from recordaudit.session import range_count
 
 RANGE = "_range"
+SLOT_BITS = 12
+FEW_ROWS = 10_000
 
 
 def numeric_bounds(df: DataFrame, part: str, value: str) -> dict[str, list]:
@@ -148,3 +152,55 @@ def hash_rank(df: DataFrame, by: list[str], key: str, seed) -> DataFrame:
     ranked = running(ranged, by, ["_u", key], {"hash_rank": "_one"}, before=True,
                      totals={"group_size": "_one"})
     return ranked.drop("_u", "_one", RANGE)
+
+
+def before_share(df: DataFrame, label: str, key: str, seed, share: float) -> Column:
+    """True for the first ``share`` of each class in hash order (as ``hash_rank`` counts them).
+
+    Only the hash of the row at the cut is needed, so no row is shuffled: rows are counted by the
+    leading hash bits, and the slot with the cut is counted again by finer bits until a few rows
+    are left in it. Each pass reads the label and the key. For a label with a few classes.
+    """
+    bits = hash_bits(seed, key)
+    cuts: dict = {}  # class → [rows before the cut within the slot, shift, slot]
+    counted = df.groupBy(label, F.shiftright(bits, HASH_BITS - SLOT_BITS).alias("slot")).count().collect()
+    for value in {r[label] for r in counted}:
+        n = sum(r["count"] for r in counted if r[label] == value)
+        cuts[value] = [int(np.floor(n * share)), HASH_BITS, 0]
+
+    def narrow(rows, shift):
+        large = []
+        for value in {r[label] for r in rows}:
+            for r in sorted((r for r in rows if r[label] == value), key=lambda r: r["slot"]):
+                if cuts[value][0] < r["count"]:
+                    cuts[value][1:] = [shift, r["slot"]]
+                    if r["count"] > FEW_ROWS and shift > 0:
+                        large.append(value)
+                    break
+                cuts[value][0] -= r["count"]
+            else:
+                cuts[value][1:] = [None, None]  # the whole class is before the cut
+        return large
+
+    def in_slots(values):
+        return reduce(lambda a, b: a | b, [
+            (F.col(label) == v) & (F.shiftright(bits, cuts[v][1]) == cuts[v][2]) for v in values], F.lit(False))
+
+    shift = HASH_BITS - SLOT_BITS
+    large = narrow(counted, shift)
+    while large:
+        finer = max(0, shift - SLOT_BITS)
+        large = narrow(df.where(in_slots(large)).groupBy(
+            label, F.shiftright(bits, finer).alias("slot")).count().collect(), finer)
+        shift = finer
+    open_cuts = [v for v, cut in cuts.items() if cut[1] is not None]
+    rest = df.where(in_slots(open_cuts)).select(label, bits.alias("bits"), F.col(key).alias("key")).collect()
+    first = F.lit(False)
+    for value, (position, shift, _) in cuts.items():
+        if shift is None:
+            first = first | (F.col(label) == value)
+            continue
+        edge = sorted((r.bits, r.key) for r in rest if r[label] == value)[position]
+        first = first | ((F.col(label) == value) & (
+            (bits < edge[0]) | ((bits == edge[0]) & (F.col(key) < edge[1]))))
+    return first

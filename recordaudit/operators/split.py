@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from recordaudit.operators.encode import fitted
-from recordaudit.operators.ranges import hash_rank
+from recordaudit.operators.ranges import before_share, hash_rank
 
 
 def stratified_split(df: DataFrame, label: str, key: str, seed, train_share: float = 0.7) -> DataFrame:
     """Add ``is_train``: the first 70 % of each class in hash order."""
-    ranked = hash_rank(df, [label], key, seed)
-    return ranked.withColumn("is_train", F.col("hash_rank") < F.floor(F.col("group_size") * train_share)).drop(
-        "hash_rank", "group_size")
+    return df.withColumn("is_train", before_share(df, label, key, seed, train_share))
 
 
 def stratified_kfold(df: DataFrame, by: list[str], key: str, seed, folds: int = 5) -> DataFrame:

@@ -62,6 +62,18 @@ def test_folds_are_balanced_and_split_keeps_shares(spark):
     assert {r.y: r["count"] for r in parts} == {0: 489, 1: 23}  # floor(0.7 n) in floating point
 
 
+@pytest.mark.parametrize("few", [1, 20, 10_000])
+def test_split_without_shuffle_equals_the_ranking(spark, monkeypatch, few):
+    monkeypatch.setattr(ranges, "FEW_ROWS", few)
+    monkeypatch.setattr(ranges, "SLOT_BITS", 3)
+    ranked = ranges.hash_rank(labelled(spark), ["y"], "k", 45).collect()
+    expected = {r.k for r in ranked if r.hash_rank < np.floor(r.group_size * 0.7)}
+    got = split.stratified_split(labelled(spark), "y", "k", 45)
+    assert {r.k for r in got.where("is_train").collect()} == expected
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    assert split.stratified_split(labelled(spark), "y", "k", 45, 1.0).where("is_train").count() == 733
+
+
 def test_smaller_size_is_contained_in_larger(spark):
     rows = labelled(spark).withColumn("model", F.lit("m"))
     small = {r.k for r in split.first_of_size(rows, "model", "k", 45, 50).collect()}
