@@ -235,7 +235,7 @@ routes as (
   select row_key, model, carrier, tail, origin, o.icao as origin_icao, o.city as origin_city,
     o.state_code as origin_state_code, o.state_name as origin_state_name, destination,
     d.icao as dest_icao, d.city as dest_city, d.state_code as dest_state_code,
-    d.state_name as dest_state_name, quarter(sched_dep) as quarter, isodow(sched_dep) as day_of_week,
+    d.state_name as dest_state_name, cast(quarter(sched_dep) as integer) as quarter, cast(isodow(sched_dep) as integer) as day_of_week,
     sched_dep, act_dep, dep_delta,
     case when dep_delta >= 15 then 1.0::double when dep_delta is not null then 0.0::double end as dep_delay_label,
     taxi_out, act_dep + to_microseconds(cast(taxi_out * 60000000 as bigint)) as wheels_off,
