@@ -11,6 +11,7 @@ from catalog import fixtures as fx
 from catalog.registry import query
 from recordaudit.functions import scalars as sc
 from recordaudit.operators import balance, enrich as en, prep, realism
+from recordaudit.plans import prepare
 from recordaudit.session import shared_dir
 from recordaudit.sources import schema, tables
 
@@ -376,16 +377,16 @@ union all select 'rare_generated', count(*), sum(diverted), null from pool where
 union all select 'rare_enriched', count(*), sum(diverted), round(avg(distance), 6) from real""").replace(
     "sum(diverted)", "cast(sum(diverted) as bigint)"))
 def prepare_tables(spark, folder) -> DataFrame:
-    full = fx.records(spark, folder)
-    real, _ = fx.real_and_candidates(spark, folder)
+    raw = fx.records(spark, folder).where("status <> 'S'")
+    done = prepare.prepare_tables(raw, fx.is_route_history(), fx.GENERATED, fx.DROPPED, REL, fx.SPEC)
 
     def summary(df, name):
         mean = F.round(F.avg("distance"), 6) if "distance" in df.columns else F.lit(None).cast("double")
         return df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n"),
                       F.sum("diverted").alias("rare"), mean.alias("mean_distance"))
 
-    return summary(fx.historical(full), "all_flown").unionByName(
-        summary(fx.real_generated(full), "rare_generated")).unionByName(summary(real, "rare_enriched"))
+    return summary(done.flown, "all_flown").unionByName(
+        summary(done.rare_generated, "rare_generated")).unionByName(summary(done.rare_enriched, "rare_enriched"))
 
 
 # ---------------------------------------------------------------- simple aggregates
