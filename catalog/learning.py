@@ -156,7 +156,7 @@ RANKED_SQL = f"""{FLOWN_SQL}, ranked as (select *, count(*) over (partition by d
 
 @query("h5_stratified_split", SQL(f"with {RANKED_SQL} select row_key, diverted, pos < floor(n * 0.7::double) as is_train from ranked"))
 def stratified_split(spark, folder) -> DataFrame:
-    flown = fx.historical(fx.records(spark, folder)).select(KEY, "diverted")
+    flown = fx.written(fx.historical(fx.records(spark, folder)).select(KEY, "diverted"))
     return split.stratified_split(flown, "diverted", KEY, fx.SEED)
 
 
@@ -215,7 +215,8 @@ union all select model, diverted, count(*) from (
   union all select model, 1 from cand) group by model, diverted"""))
 def augment_train(spark, folder) -> DataFrame:
     full = fx.records(spark, folder)
-    ranked = split.stratified_split(fx.historical(full).select(KEY, "diverted"), "diverted", KEY, fx.SEED)
+    flown = fx.written(fx.historical(full).select(KEY, "diverted"))
+    ranked = split.stratified_split(flown, "diverted", KEY, fx.SEED)
     train = fx.written(ranked.where("is_train").select(KEY, "diverted"))
     _, candidates = fx.real_and_candidates(spark, folder, write=True)
     out = train.withColumn("setting", F.lit("trtr"))
