@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _test_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def pin_utc(spark: SparkSession) -> None:
@@ -52,3 +55,19 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
 def range_count(spark: SparkSession) -> int:
     """Number of value ranges for two-level prefix sums: follows the session's parallelism."""
     return max(16, min(8192, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that tasks can import it from anywhere."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="recordaudit-"), "recordaudit_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as bundle:
+        for folder, _, names in os.walk(top):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                bundle.write(path, os.path.relpath(path, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
