@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordaudit.llm import mixing
+from recordaudit.llm import chat, mixing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,3 +77,130 @@ from spots a join origin g on a.source is not distinct from g.source
 @query("op10_mix_sources", MIX_SQL.replace("{documents}", "documents"))
 def mix_sources(spark, folder):
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUALITY_SQL = r"""
+with w as (
+  select rowid_, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+  from (select row_number() over () as rowid_, doc_id, text from {documents})),
+m as (
+  select rowid_, doc_id, text, words, len(words)::bigint as n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from w),
+g as (
+  select rowid_, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] as gram
+  from (select rowid_, words, unnest(range(1, len(words) - 1)) as p from w where len(words) >= 3)),
+d as (select rowid_, p from g qualify count(*) over (partition by rowid_, gram) > 1),
+c as (
+  select rowid_, sum(least(3, coalesce(nxt - p, 3)))::bigint as n_repeat_words
+  from (select rowid_, p, lead(p) over (partition by rowid_ order by p) as nxt from d) group by rowid_),
+f as (
+  select m.*, coalesce(c.n_repeat_words, 0)::bigint as n_repeat_words, len(lines)::bigint as n_lines,
+         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+         len(list_filter(words, lambda x: regexp_matches(x, '\p{L}')))::bigint as n_letters
+  from m left join c using (rowid_)),
+b as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f),
+q as (
+  select *, not base_failed and n_symbols * 10 <= n_words and n_dup_lines * 10 <= n_lines * 3
+         and word_chars >= n_words * 3 and word_chars <= n_words * 12
+         and length(regexp_replace(text, '[A-Z]', '', 'g')) * 2 >= length(text)
+         and n_letters * 10 >= n_words * 7 as kept
+  from b)
+"""
+
+
+@query("op2_quality_rules", QUALITY_SQL.replace("{documents}", "documents")
+       + "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from q")
+def quality_rules(spark, folder):
+    return quality.judge(table(spark, folder, "documents")).select(
+        "doc_id", F.col("m_n_words").alias("n_words"), F.col("m_word_chars").alias("word_chars"),
+        F.col("m_n_symbols").alias("n_symbols"), F.col("m_n_dup_lines").alias("n_dup_lines"),
+        F.col("m_n_repeat_words").alias("n_repeat_words"), F.col("m_base_failed").alias("base_failed"),
+        F.col("m_rejected_by").isNull().alias("kept"))
+
+
+CHAT_SQL = r"""
+with m as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (
+  select *, replace(replace(role, '\', '\\'), '<|', '<\|') as erole, replace(replace(text, '\', '\\'), '<|', '<\|') as etext from m)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, etext)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, etext) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(23 + length(erole) + length(etext))::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
+@query("op3_chat_format", CHAT_SQL)
+def chat_format(spark, folder):
+    said = r"\### Assistant: </turn> ok"
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn int, role string, text string")
+    read = chat.read_back(chat.format_chats(given.unionByName(extra)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+PII_SQL = r"""
+with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from {documents}),
+g as (
+  select rid, 'email' as kind, 0 as ord, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') as m,
+         string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') as p from t
+  union all
+  select rid, 'ip', 1, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+         string_split_regex(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') from t
+  union all
+  select rid, 'card', 2, regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+'), string_split_regex(text, '[0-9](?:[\x20-]?[0-9])+') from t
+  union all
+  select rid, 'phone', 3, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') from t
+  union all
+  select rid, 'iban', 4, regexp_extract_all(text, '[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?'),
+         string_split_regex(text, '[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?') from t),
+u as (select rid, kind, ord, m, p, unnest(range(1, len(m) + 1)) as i from g where len(m) > 0),
+s as (
+  select rid, kind, ord, m[i] as x, sum(length(p[i])) over w + coalesce(sum(length(m[i])) over v, 0) as st
+  from u window w as (partition by rid, kind order by i rows between unbounded preceding and current row),
+                v as (partition by rid, kind order by i rows between unbounded preceding and 1 preceding)),
+n as (select *, regexp_replace(x, '[^0-9]', '', 'g') as d, replace(x, ' ', '') as a from s),
+ok as (
+  select rid, kind, ord, st::bigint as st, (st + length(x))::bigint as en from n
+  where case kind
+    when 'email' then true
+    when 'ip' then list_bool_and(list_transform(string_split(x, '.'), lambda y: y::hugeint <= 255))
+    when 'card' then length(d) between 12 and 19 and list_sum(list_transform(range(1, length(d) + 1),
+      lambda j: case when j % 2 = 1 then substr(d, length(d) - j + 1, 1)::int
+           else substr(d, length(d) - j + 1, 1)::int * 2 - case when substr(d, length(d) - j + 1, 1)::int > 4 then 9 else 0 end end)) % 10 = 0
+    when 'phone' then length(d) between 9 and 15
+    when 'iban' then length(a) between 15 and 34 and
+      list_reduce(list_concat([0::bigint], list_transform(range(1, length(a) + 1), lambda j: ascii(substr(substr(a, 5) || substr(a, 1, 4), j, 1))::bigint)),
+        lambda q, c: case when c < 58 then (q * 10 + c - 48) % 97 else (q * 100 + c - 55) % 97 end) = 1 end),
+agg as (
+  select rid, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip,
+         count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
+         string_agg(kind || ':' || st || ':' || en, ',' order by st, ord) filter (kind <> 'iban') as base,
+         string_agg(kind || ':' || st || ':' || en, ',' order by st, ord) as spans
+  from ok group by rid)
+select doc_id, coalesce(n_email, 0)::bigint as n_email, coalesce(n_ip, 0)::bigint as n_ip, coalesce(n_card, 0)::bigint as n_card,
+       coalesce(n_phone, 0)::bigint as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from t left join agg using (rid)
+"""
+
+@query("op5_personal_data", PII_SQL.replace("{documents}", "documents"))
+def personal_data(spark, folder):
+    found = pii.find(table(spark, folder, "documents").select("doc_id", "text"))
+    base = pii.of_kinds(F.col("pii"), [k.name for k in pii.KINDS if k.base])
+    count = lambda kind: F.size(pii.of_kinds(F.col("pii"), [kind])).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("email"), count("ip"), count("card"), count("phone"),
+        F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
