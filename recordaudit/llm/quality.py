@@ -118,6 +118,10 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = S
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that no rule rejects, with the columns of ``docs``."""
+    """Rows of ``docs`` that no rule rejects, with the columns of ``docs``.
+
+    A generator drops the rows: a filter would be pushed below the measures and compute them again inside it.
+    """
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    return judge(rows).filter(F.col("m_rejected_by").isNull()).select("row.*")
+    kept = F.when(F.col("m_rejected_by").isNull(), F.array("row"))
+    return judge(rows).select(F.inline(kept))
