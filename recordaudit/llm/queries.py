@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordaudit.llm import chat, mixing, pii, quality, secrets
+from recordaudit.llm import chat, decontaminate, mixing, near_dedup, pii, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -213,3 +213,37 @@ def find_secrets(spark, folder):
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"),
                         F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+NEAR_SQL = r"""
+with recursive w as (
+  select row_number() over () as rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+  from {documents}),
+sets as (
+  select rid, doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+         else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end as s
+  from w),
+sh as (select rid, unnest(s) as g from sets),
+common as (select a.rid as x, b.rid as y, count(*) as n from sh a join sh b on a.g = b.g and a.rid <> b.rid group by 1, 2),
+links as (
+  select x, y from common join sets a on a.rid = x join sets b on b.rid = y
+  where 100 * n >= 85 * (len(a.s) + len(b.s) - n)),
+reach(rid, other) as (
+  select rid, rid from sets
+  union
+  select r.rid, l.y from reach r join links l on l.x = r.other)
+select s.doc_id, len(s.s)::bigint as n_shingles, min(o.doc_id) as component_id, s.doc_id = min(o.doc_id) as kept
+from sets s join reach r using (rid) join sets o on o.rid = r.other
+group by s.rid, s.doc_id, s.s
+"""
+
+
+@query("op1_near_duplicates", NEAR_SQL.replace("{documents}", "documents"))
+def near_duplicates(spark, folder):
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op9_benchmark_leaks")
+def benchmark_leaks(spark, folder):
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
