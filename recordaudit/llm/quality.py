@@ -30,35 +30,40 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: _without(x, BLANK) != "")
 
 
-def _repeated_words(words: Column) -> Column:
-    """Words inside 3-word windows found twice or more: sort window hashes, keep those with an equal neighbour, cover."""
-    grams = F.array_sort(F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("p"))))
-    return F.when(F.size(words) >= 4, grams)
-
-
 def metrics(docs: DataFrame) -> DataFrame:
-    """Adds text measures as columns starting with ``m_``; a null text is an empty one. Keeps all columns and rows."""
+    """Adds text measures as columns starting with ``m_``; a null text is an empty one. Keeps all columns and rows.
+
+    Words in 3-word windows found twice or more: windows are hashed; if a text has equal hashes, each hash is put
+    above its place in one number, so that a sort of plain numbers brings equal windows together. Neighbours
+    are compared by their whole hashes. Every step is linear or a sort.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("m_words", F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), ""))
+    windows = F.transform(F.sequence(F.lit(0), F.size("m_words") - 3),
+                          lambda i: F.xxhash64(F.get("m_words", i), F.get("m_words", i + 1), F.get("m_words", i + 2)))
     df = df.withColumns({
         "m_n_words": F.size("m_words").cast("long"),
         "m_word_chars": F.length(_without(text, BLANK)).cast("long"),
         "m_n_symbols": (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long"),
         "m_lines": _lines(text),
-        "m_grams": _repeated_words(F.col("m_words")),
+        "m_hashes": F.when(F.size("m_words") >= 4, windows),
+        "m_bits": F.ceil(F.log2(F.size("m_words") + 1)).cast("int"),
     })
-    # Positions whose window hash equals a neighbour's in sorted order, back in text order.
-    same = lambda x, i: (x["h"] == F.get("m_grams", i - 1)["h"]) | (x["h"] == F.get("m_grams", i + 1)["h"])
+    df = df.withColumn("m_repeats", F.size(F.array_distinct("m_hashes")) < F.size("m_hashes"))
+    placed = F.transform("m_hashes", lambda h, i: F.call_function("shiftleft", h, F.col("m_bits")).bitwiseOR(i.cast("long")))
+    df = df.withColumn("m_sorted", F.when(F.col("m_repeats"), F.sort_array(placed)))
+    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("m_bits")) - 1).cast("int")
+    whole = lambda x: F.get("m_hashes", place(x))
+    same = lambda x, i: (whole(x) == whole(F.get("m_sorted", i - 1))) | (whole(x) == whole(F.get("m_sorted", i + 1)))
     df = df.withColumns({
         "m_n_lines": F.size("m_lines").cast("long"),
         "m_n_dup_lines": (F.size("m_lines") - F.size(F.array_distinct("m_lines"))).cast("long"),
-        "m_places": F.sort_array(F.transform(F.filter("m_grams", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["p"])),
+        "m_places": F.sort_array(F.transform(F.filter("m_sorted", lambda x, i: F.coalesce(same(x, i), F.lit(False))), place)),
     })
     covered = F.aggregate(
         F.transform("m_places", lambda p, i: F.least(F.lit(3), F.get("m_places", i + 1) - p)), F.lit(0), lambda a, x: a + x)
-    return df.withColumn("m_n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("m_grams", "m_places", "m_lines")
+    return df.withColumn("m_n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(
+        "m_hashes", "m_bits", "m_repeats", "m_sorted", "m_places", "m_lines")
 
 
 def base_failed() -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordaudit.llm import chat, decontaminate, mixing, near_dedup, pii, quality, secrets
+from recordaudit.llm import chat, decontaminate, html_text, line_dedup, mixing, near_dedup, pii, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -247,3 +247,45 @@ def near_duplicates(spark, folder):
 @query("op9_benchmark_leaks")
 def benchmark_leaks(spark, folder):
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_html_text")
+def html_main_text(spark, folder):
+    return html_text.main_text(table(spark, folder, "pages"))
+
+
+LINES_SQL = r"""
+with d as (select distinct doc_id, coalesce(text, '') as text from {documents}),
+l as (
+  select doc_id, text, i, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as x
+  from (select doc_id, text, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as i from d)),
+n as (
+  select *, row_number() over w as n, lead(x, 1) over w as x2, lead(x, 2) over w as x3,
+         len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as words, len(regexp_extract_all(lead(x, 1) over w, '[^\x20\x09-\x0D]+')) as words2
+  from l where x <> '' window w as (partition by doc_id, text order by i)),
+p as (
+  select *, row_number() over (partition by x order by doc_id, n) > 1 as c1,
+         x2 is not null and row_number() over (partition by x, x2 order by doc_id, n) > 1 as c2,
+         x3 is not null and row_number() over (partition by x, x2, x3 order by doc_id, n) > 1 as c3
+  from n),
+gone as (
+  select doc_id, text, n from p where c1 and words >= 20
+  union select doc_id, text, n + unnest([0, 1]) from p where c2 and words + words2 >= 20
+  union select doc_id, text, n + unnest([0, 1, 2]) from p where c3),
+k as (
+  select l.doc_id, l.text, l.i, l2.x as raw, g.n is not null as out
+  from l
+  join (select doc_id, text, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as i from d) l2
+    on l.doc_id = l2.doc_id and l.text = l2.text and l.i = l2.i
+  left join p on p.doc_id = l.doc_id and p.text = l.text and p.i = l.i
+  left join gone g on g.doc_id = p.doc_id and g.text = p.text and g.n = p.n)
+select doc_id, count(*) filter (out)::bigint as lines_removed,
+       sha256(coalesce(string_agg(raw, chr(10) order by i) filter (not out), '')) as kept_sha256
+from k group by doc_id, text
+"""
+
+
+@query("op6_repeated_lines", LINES_SQL.replace("{documents}", "documents"))
+def repeated_lines(spark, folder):
+    return line_dedup.drop_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "lines_removed", F.sha2("text", 256).alias("kept_sha256"))
