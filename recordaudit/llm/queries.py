@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordaudit.llm import chat, decontaminate, html_text, line_dedup, mixing, near_dedup, pii, quality, secrets
+from recordaudit.llm import chat, decontaminate, html_text, line_dedup, mixing, near_dedup, pii, quality, secrets, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -289,3 +289,10 @@ from k group by doc_id, text
 def repeated_lines(spark, folder):
     return line_dedup.drop_repeats(table(spark, folder, "documents")).select(
         "doc_id", "lines_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op8_repeated_substrings")
+def repeated_substrings(spark, folder):
+    return suffix_dedup.drop_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"]), F.lit(0).cast("long")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
