@@ -317,9 +317,10 @@ def _layout(paragraphs: list[str], notes: list[str], links: list[str], draw: ran
         words = f"<p data-mark=0>{pick((note, prose))()}</p>" * draw.randint(1, 2)
         return {
             "nav": lambda: pick((f"<nav data-mark=0>{listed(6)}</nav>", named("div", ("menu", "navbar", "main-nav", "breadcrumbs"), listed(5)))),
-            "header": lambda: pick((f"<header data-mark=0><div data-mark=0>{note()}</div></header>",
+            "header": lambda: pick((f"<header data-mark=0><div data-mark=0>{note()}</div></header>", f"<header data-mark=0><h2 data-mark=0>{note()}</h2>{words}</header>",
                                     named("div", ("header", "masthead", "top-bar"), f"<span data-mark=0>{note()}</span>"))),
-            "footer": lambda: pick((f"<footer data-mark=0>&copy; {note()}</footer>", named("div", ("footer", "page-footer", "legal"), words))),
+            "footer": lambda: pick((f"<footer data-mark=0>&copy; {note()}</footer>", f"<footer data-mark=0>{words}</footer>",
+                                    f"<footer data-mark=0>{listed(4)}<p data-mark=0>{note()}</p></footer>", named("div", ("footer", "page-footer", "legal"), words))),
             "aside": lambda: pick((f"<aside data-mark=0><h3 data-mark=0>{note()}</h3>{words}</aside>",
                                    named("div", ("sidebar", "related-posts", "widget", "trending"), words + listed(3)))),
             "ad": lambda: named("div", ("ad", "ads", "advert", "sponsored", "promo", "banner-ad"), pick((note(), words))),
@@ -345,7 +346,7 @@ def _layout(paragraphs: list[str], notes: list[str], links: list[str], draw: ran
     inner = "".join(body)
     wrapped = pick((f"<article data-mark=1>{inner}</article>", f"<article data-mark=1>{inner}</article>", f"<main data-mark=1>{inner}</main>",
                     f"<main data-mark=1><article data-mark=1>{inner}</article></main>", named("div", _NAMES, inner, 1),
-                    f'<article class="{pick(_NAMES)}" data-mark=1>{inner}</article>', named("section", _NAMES, inner, 1)))
+                    f'<article class="{pick(_NAMES)}" data-mark=1>{inner}</article>', named("section", _NAMES, inner, 1), inner))
     if draw.random() < 0.3:
         wrapped = f"<div>{wrapped}</div>"
     before = [boiler(k) for k in ("nav", "header", "notice", "ad") if draw.random() < 0.6]

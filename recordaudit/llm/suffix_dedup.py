@@ -29,9 +29,9 @@ from recordaudit.session import ship, written
 WIDTH, ANCHOR = 100, 32
 _NAMES = WIDTH - ANCHOR + 1
 #: Bytes of text per bucket of names, and per group of documents.
-BUCKET_BYTES, GROUP_BYTES = 64 << 20, 16 << 20
+BUCKET_BYTES, GROUP_BYTES = 32 << 20, 8 << 20
 #: Records gathered in a task before they are sent, and bytes of spans per index.
-FLUSH_RECORDS, INDEX_BYTES = 1 << 20, 1 << 20
+FLUSH_RECORDS, INDEX_BYTES = 1 << 19, 1 << 20
 #: A name with more spans than this is settled string by string, spread over all buckets.
 CROWDED = 1 << 16
 
