@@ -26,6 +26,8 @@ from recordaudit.session import ship, written
 
 #: Bounds of the training set: pages sampled, layouts built from each, characters of a page that may be sampled.
 SAMPLE_PAGES, LAYOUTS, SAMPLE_CHARS = 200, 4, 100_000
+#: Pages of built-in sentences in every training set, so that a small or empty table has one too.
+SEED_PAGES = 16
 TREES, DEPTH = 24, 5
 
 #: Quoted values are matched up to a bound, so that an unclosed quote costs no more than that.
@@ -380,7 +382,7 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, layouts: int = LAYOU
     total = max(pages.select("page_id").count(), 1)
     chosen = pages.filter((F.length("html") <= sample_chars) & (
         F.pmod(F.xxhash64("page_id", "url"), F.lit(total)) < sample_pages)).select(F.xxhash64("page_id", "url").alias("seed"), "html")
-    seeded = chosen.sparkSession.range(1).select(F.col("id").alias("seed"), F.lit("").alias("html"))
+    seeded = chosen.sparkSession.range(SEED_PAGES).select(F.col("id").alias("seed"), F.lit("").alias("html"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

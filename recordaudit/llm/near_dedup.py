@@ -310,8 +310,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest doc_id; all columns.
 
-    Rows without shingles are no duplicates of anything and stay. Of rows that repeat a kept doc_id with shingles,
-    one stays.
+    Rows without shingles are no duplicates of anything and stay. Of rows that repeat doc_id and text, one stays;
+    rows that share a doc_id but not the text are one document in two versions and stay or go together.
     """
     judged = written(near_duplicates(docs))
     dropped = judged.filter(~F.col("kept")).select("doc_id").distinct()
@@ -321,4 +321,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     once = rest.join(again, id_of.eqNullSafe(again["doc_id"]), "left_anti")
     repeated = rest.join(again, id_of.eqNullSafe(again["doc_id"]), "left_semi")
     blank = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
-    return once.unionByName(repeated.filter(blank)).unionByName(repeated.filter(~blank).dropDuplicates(["doc_id"]))
+    return once.unionByName(repeated.filter(blank)).unionByName(repeated.filter(~blank).dropDuplicates(["doc_id", "text"]))
