@@ -114,7 +114,10 @@ def class_balance_point(spark, folder) -> DataFrame:
 
 GENERATED_FEATURES = [c for c in fx.GENERATED if c != "diverted"]
 UTILITY_FEATURES = [c for c in LEAKAGE_FREE if c != "diverted"]
-JUDGE = fo.Forest(trees=100, depth=10, seed=fx.SEED)
+JUDGE = fo.Forest(seed=fx.SEED)
+EVERY_MODEL = [*fx.MODELS, "Never sampled"]
+#: Augmentation sizes of the sweep.
+SWEEP_SIZES = tuple(range(300, 8100, 300))
 
 
 def without_nulls(real, candidates, columns):
@@ -149,7 +152,7 @@ def fidelity_cv(spark, folder) -> DataFrame:
 @query("k2_fidelity_score")
 def fidelity_score(spark, folder) -> DataFrame:
     return fx.rounded(fo.fidelity_score(*fidelity_tables(spark, folder), KEY, "model", GENERATED_FEATURES,
-                                        ["GC", "Optimal TVAE", "Never sampled"], JUDGE))
+                                        EVERY_MODEL, JUDGE))
 
 
 @query("k8_utility_trtr")
@@ -165,7 +168,7 @@ def utility_tatr(spark, folder) -> DataFrame:
 @query("k10_utility_score")
 def utility_score(spark, folder) -> DataFrame:
     return fx.rounded(fo.utility_score(*utility_tables(spark, folder), KEY, "model", "diverted", UTILITY_FEATURES,
-                                       ["GC", "Never sampled"], JUDGE, "mcc"))
+                                       EVERY_MODEL, JUDGE, "mcc"))
 
 
 # ---------------------------------------------------------------- result tables by size
@@ -242,9 +245,9 @@ def augmentation_sweep_table(spark, folder) -> DataFrame:
 
 @query("k12_augmentation_sweep")
 def augmentation_sweep(spark, folder) -> DataFrame:
-    """Forests trained on real rows plus the first rows of two models, for two sizes."""
+    """Forests trained on real rows plus the first rows of every model, for all sizes."""
     return fx.rounded(fo.utility(*utility_tables(spark, folder), KEY, "model", "diverted", UTILITY_FEATURES,
-                                 fo.Forest(trees=20, depth=8, seed=fx.SEED), models=["GC", "Optimal CTGAN"], sizes=(100, 200)))
+                                 JUDGE, sizes=SWEEP_SIZES))
 
 
 BASELINE_SQL = """(select max(pr_auc) from results where model = 'TRTR') as pr_auc_trtr,
@@ -265,7 +268,34 @@ def axis_extent(spark, folder) -> DataFrame:
     return fx.rounded(trend.axis_extent(results.where("model <> 'TRTR'"), "pr_auc", F.lit(base)))
 
 
-@query("f3_lowess_trend")
+def lowess_sql(share: float = trend.SHARE, passes: int = trend.ROBUST_PASSES) -> str:
+    """Tricube-weighted lines around every size by a self join, then bisquare passes on the residuals."""
+    parts = [f"""points as (select model, cast(size_before as double) as x, avg(pr_auc) as y from results
+  where model <> 'TRTR' and size_before is not null and pr_auc is not null group by 1, 2),
+marks as (select model, greatest(2, cast(floor({share} * count(*) + 1e-10) as bigint)) as k,
+  1e-10::double * greatest(max(y) - min(y), max(abs(y))) as noise, greatest(1.0, max(x) - min(x)) as extent from points group by model),
+gaps as (select a.model, a.x, a.y, b.x as bx, b.y as yb, abs(a.x - b.x) as gap,
+  row_number() over (partition by a.model, a.x order by abs(a.x - b.x)) as rn from points a join points b on a.model = b.model),
+reach as (select model, x, gap as reach from gaps join marks using (model) where rn = k),
+near as (select model, x, y, bx, yb, case when reach > 0 then gap / reach when gap > 0 then 1.0::double else 0.0::double end as c
+  from gaps join reach using (model, x)),
+weights as (select model, x, y, bx, yb, case when c < 1 then power(1 - power(c, 3), 3) else 0.0::double end as w from near),
+trust0 as (select model, x as bx, 1.0::double as trust from points)"""]
+    for i in range(passes + 1):
+        parts.append(f"""w{i} as (select model, x, y, bx, yb, w * trust as w from weights join trust{i} using (model, bx)),
+means{i} as (select model, x, sum(w) as mass, sum(w * bx) / sum(w) as mx, sum(w * yb) / sum(w) as my from w{i} group by model, x),
+lines{i} as (select model, x, any_value(y) as y, any_value(mass) as mass, any_value(mx) as mx, any_value(my) as my,
+  sum(w * power(bx - mx, 2)) as spread, sum(w * (bx - mx) * yb) as joint from w{i} join means{i} using (model, x) group by model, x),
+fit{i} as (select model, x, y, case when mass > 0 then my + case when spread <= 1e-12 * power(extent, 2) then 0 else joint / spread end * (x - mx)
+  else y end as fitted, noise from lines{i} join marks using (model)),
+left{i} as (select model, x, case when abs(y - fitted) <= noise then 0.0::double else abs(y - fitted) end as r from fit{i}),
+middle{i} as (select model, median(r) as middle from left{i} group by model),
+trust{i + 1} as (select model, x as bx, case when middle = 0 then case when r = 0 then 1.0::double else 0.0::double end
+  when r < 6 * middle then power(1 - power(r / (6 * middle), 2), 2) else 0.0::double end as trust from left{i} join middle{i} using (model))""")
+    return ", " + ", ".join(parts) + f" select model, x as size_before, round(y, 6) as pr_auc, round(fitted, 6) as trend from fit{passes}"
+
+
+@query("f3_lowess_trend", SQL(RESULTS_SQL + lowess_sql()))
 def lowess_trend(spark, folder) -> DataFrame:
     results = sweep_results(spark, folder).where("model <> 'TRTR'")
     return fx.rounded(trend.lowess_trend(results, "model", "size_before", "pr_auc"))
@@ -413,7 +443,7 @@ def candidate_eval(spark, folder) -> DataFrame:
     real, cleaned = pools(spark, folder)
     return fx.rounded(selection_round.candidate_eval(
         fx.candidates_generated(full), routes, REL, real, cleaned, fx.SPEC, fidelity_tables(spark, folder), GENERATED_FEATURES,
-        utility_tables(spark, folder), UTILITY_FEATURES, ["GC", "Never sampled"], fo.Forest(trees=50, depth=8, seed=fx.SEED)))
+        utility_tables(spark, folder), UTILITY_FEATURES, EVERY_MODEL, JUDGE))
 
 
 # ---------------------------------------------------------------- copula
@@ -486,10 +516,8 @@ def similarity_report(spark, folder) -> DataFrame:
 def fidelity_report(spark, folder) -> DataFrame:
     """Cross-validated scores with display names, and the holdout matrix of each model."""
     real, candidates = fidelity_tables(spark, folder)
-    models = ["GC", "Optimal TVAE"]
-    small = fo.Forest(trees=50, depth=8, seed=fx.SEED)
-    scores = fo.fidelity_cv(real, candidates, KEY, "model", GENERATED_FEATURES, small, models=models)
-    holdout = fo.fidelity_holdout(real, candidates, KEY, "model", GENERATED_FEATURES, small, models)
+    scores = fo.fidelity_cv(real, candidates, KEY, "model", GENERATED_FEATURES, JUDGE)
+    holdout = fo.fidelity_holdout(real, candidates, KEY, "model", GENERATED_FEATURES, JUDGE)
     counts = metrics.confusion_counts(holdout, ["model"])
     return fx.rounded(reports.named(scores.join(counts, "model")))
 
@@ -497,7 +525,7 @@ def fidelity_report(spark, folder) -> DataFrame:
 @query("n4_utility_report")
 def utility_report(spark, folder) -> DataFrame:
     results = fo.utility(*utility_tables(spark, folder), KEY, "model", "diverted", UTILITY_FEATURES,
-                         fo.Forest(trees=50, depth=8, seed=fx.SEED), models=["GC", "Optimal TVAE"])
+                         JUDGE)
     return fx.rounded(reports.utility_report(results))
 
 

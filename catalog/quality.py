@@ -31,9 +31,11 @@ def quality_sql(spec=SPEC, real: str = "real", cand: str = "cand", tag: str = ""
         f"select model, '{c}' as column_name, {number_sql(c)} as value from {both}" for c in continuous)
     cats = " union all ".join(
         f"select model, '{c}' as column_name, {text_sql(c)} as value from {both}" for c in spec.categorical)
+    numbers = ", ".join(f"{number_sql(c)} as {c}" for c in continuous)
+    couples = list(combinations(continuous, 2))
+    wide = ", ".join(f"corr({a}, {b}) as c{i}" for i, (a, b) in enumerate(couples))
     corr = " union all ".join(
-        f"select model, '{a}' as column_a, '{b}' as column_b, corr({number_sql(a)}, {number_sql(b)}) as r from {both} group by model"
-        for a, b in combinations(continuous, 2))
+        f"select model, '{a}' as column_a, '{b}' as column_b, c{i} as r from corr_wide{tag}" for i, (a, b) in enumerate(couples))
     edges = ", ".join(f"min({number_sql(c)}) as {c}_min, max({number_sql(c)}) as {c}_max" for c in continuous)
     codes = [f"{text_sql(c)} as {c}" for c in spec.categorical] + [
         f"coalesce(cast(case when {number_sql(c)} < {c}_min then 0 when {number_sql(c)} >= {c}_max then 11 else "
@@ -67,13 +69,14 @@ tv{tag} as (
     1 - 0.5::double * sum(abs(coalesce(s.p, 0) - coalesce(r.p, 0))) as score
   from (select * from share{tag} where model <> 'real') s full join real_by_model{tag} r
     on s.model = r.model and s.column_name = r.column_name and s.value = r.value group by 1, 2),
+corr_wide{tag} as materialized (select model, {wide} from (select model, {numbers} from {both}) group by model),
 corr_all{tag} as ({corr}),
 corr{tag} as (
   select s.model, s.column_a, s.column_b, s.r, r.r as r_real, 1 - abs(r.r - s.r) / 2 as score
   from corr_all{tag} s join corr_all{tag} r on r.model = 'real' and r.column_a = s.column_a and r.column_b = s.column_b
   where s.model <> 'real'),
 edges{tag} as (select {edges} from {real}),
-coded{tag} as (select model, {', '.join(codes)} from {both}, edges{tag}),
+coded{tag} as materialized (select model, {', '.join(codes)} from {both}, edges{tag}),
 cells{tag} as ({cells}),
 cell_share{tag} as (select c.*, n / total as p from cells{tag} c join sizes{tag} using (model)),
 real_cells{tag} as (select m.model, r.column_a, r.column_b, r.a, r.b, r.p from cell_share{tag} r, models{tag} m where r.model = 'real'),

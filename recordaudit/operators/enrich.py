@@ -33,16 +33,15 @@ def place_columns(df: DataFrame, rel: Relations, prefix: str, id_column: str) ->
 def airport_dimension(history: DataFrame, rel: Relations) -> DataFrame:
     """One row per place from origins and destinations; origin rows win, then the smallest text.
 
-    ``distinct`` shrinks the history to a few rows per place on the map side (hash aggregation),
+    Both sides come from one scan. ``distinct`` shrinks the history to a few rows per place on the map side (hash aggregation),
     so the pick of the first row works on a small table.
     """
-    sides = []
-    for rank, (prefix, id_column) in enumerate(
-            ((rel.origin_prefix, rel.origin), (rel.destination_prefix, rel.destination))):
-        own = [rel.place_column(prefix, a) for a in rel.place_attributes]
-        side = place_columns(history.select(id_column, *own), rel, prefix, id_column)
-        sides.append(side.withColumn("_side", F.lit(rank)))
-    versions = sides[0].unionByName(sides[1]).distinct()
+    sides = [
+        F.struct(F.lit(rank).alias("_side"), F.col(id_column).alias(PLACE),
+                 *[F.col(rel.place_column(prefix, a)).alias(a) for a in rel.place_attributes])
+        for rank, (prefix, id_column) in enumerate(
+            ((rel.origin_prefix, rel.origin), (rel.destination_prefix, rel.destination)))]
+    versions = history.select(F.inline(F.array(*sides))).distinct()
     first = F.min(F.struct("_side", *rel.place_attributes)).alias("place")
     return versions.groupBy(PLACE).agg(first).select(PLACE, "place.*").drop("_side")
 

@@ -166,8 +166,13 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, features, k: int =
     columns = [F.col(key).cast("string").alias(key), *[F.col(c).cast("double").alias(c) for c in features]]
     points = written(_distinct_points(points.select(columns), key, features, k + int(exclude_self)))
     queries = written(queries.select(columns))
-    boxes = max(1, min(MAX_BOXES, math.ceil(points.count() / GROUP_ROWS)))
-    sample = points.orderBy(F.xxhash64(key), key).limit(SAMPLE_PER_BOX * boxes).select(features).toPandas()
+    total = points.count()
+    boxes = max(1, min(MAX_BOXES, math.ceil(total / GROUP_ROWS)))
+    # Rows below a hash threshold that follows the count: no task gathers candidates for the sample.
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(max(total, 1))) < SAMPLE_PER_BOX * boxes
+    sample = points.where(drawn).select(features).toPandas()
+    if sample.empty:
+        sample = points.select(features).limit(1).toPandas()
     tree = SplitTree(sample.to_numpy(dtype=float), boxes)
     placed = _with_box(points, tree, features)
     edges = placed.groupBy("box").agg(

@@ -20,40 +20,42 @@ from recordaudit.session import range_count
 RANGE = "_range"
 SLOT_BITS = 12
 FEW_ROWS = 10_000
+#: Values sampled per range to place the bounds.
+PER_RANGE = 64
 
 
 def numeric_bounds(df: DataFrame, part: str, value: str) -> dict[str, list]:
     """Range bounds of ``value`` for every ``part`` (a series name; a handful of them)."""
-    n = range_count(df.sparkSession)
-    shares = [i / n for i in range(1, n)]
-    rows = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(part)
-        .agg(F.percentile_approx(value, shares, 20 * n).alias("bounds"))
-        .collect()
-    )
-    return {row[part]: sorted(set(row["bounds"])) for row in rows}
+    return _sampled_bounds(df.where(F.col(value).isNotNull()).select(part, value), part, value)
 
 
-def text_bounds(distinct: DataFrame, part: str, value: str) -> dict[str, list]:
-    """Range bounds for distinct strings, from the entries with the smallest hashes.
+def _sampled_bounds(known: DataFrame, part: str, value: str) -> dict[str, list]:
+    """Bounds from about PER_RANGE values per range and part, drawn on the map side.
 
-    The entries with the smallest hashes are a uniform sample of the distinct values; its size is
-    fixed by the number of ranges.
+    A part's values are kept with a chance that follows its count, so what reaches the driver is bounded by parts
+    and ranges, however long the column is. Bounds only balance the ranges; results don't depend on them.
     """
-    n = range_count(distinct.sparkSession)
-    sample = (
-        distinct.where(F.col(value).isNotNull())
-        .select(part, value)
-        .orderBy(F.xxhash64(part, value), part, value)
-        .limit(16 * n)
-        .collect()
-    )
+    n = range_count(known.sparkSession)
+    counts = {row[part]: row["count"] for row in known.groupBy(part).count().collect()}
+    if not counts:
+        return {}
+    chance = F.lit(1.0)
+    for name, count in counts.items():
+        if count > PER_RANGE * n:
+            chance = F.when(F.col(part).eqNullSafe(F.lit(name)), F.lit(PER_RANGE * n / count)).otherwise(chance)
     by_part: dict[str, list] = {}
-    for row in sample:
+    for row in known.where(F.rand(17) < chance).collect():
         by_part.setdefault(row[part], []).append(row[value])
-    step = max(1, len(sample) // n)
-    return {name: sorted(values)[step - 1::step] for name, values in by_part.items()}
+    bounds = {}
+    for name, values in by_part.items():
+        values.sort()
+        bounds[name] = sorted({values[i * len(values) // n] for i in range(1, n)})
+    return bounds
+
+
+def text_bounds(distinct: DataFrame, part: str, value: str) -> dict[str, list]:
+    """Range bounds for distinct strings of every ``part``, from a sample as for numbers."""
+    return _sampled_bounds(distinct.where(F.col(value).isNotNull()).select(part, value), part, value)
 
 
 def with_range(df: DataFrame, part: str, value: str, bounds: dict[str, list]) -> DataFrame:

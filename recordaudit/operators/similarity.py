@@ -19,6 +19,8 @@ REAL = "real"
 UNKNOWN = "(unknown)"
 BINS = 10
 MAX_MODELS = 10_000
+#: Up to this many models, cells have a count column per model.
+MODELS_SIDE_BY_SIDE = 64
 
 
 def stacked(real: DataFrame, candidates: DataFrame, spec: Spec, columns) -> DataFrame:
@@ -150,8 +152,9 @@ def _bin(column: str, low: float, high: float) -> Column:
 def contingency_similarity(real: DataFrame, candidates: DataFrame, spec: Spec) -> DataFrame:
     """1 - total variation distance of the joint table, for pairs with a categorical column.
 
-    Numeric and datetime columns are cut into ten bins of the real range. Rows are exploded into
-    pairs after they are reduced to codes, and counted on the map side.
+    Numeric and datetime columns are cut into ten bins of the real range. A cell of a pair's table is one
+    64-bit hash of the pair and both codes, so rows are exploded into plain numbers; one group-by counts
+    the cells of all models side by side, and the scores are sums over it.
     """
     types = dict(real.dtypes)
     continuous = list(spec.numeric + spec.datetime)
@@ -164,20 +167,30 @@ def contingency_similarity(real: DataFrame, candidates: DataFrame, spec: Spec) -
     for c in continuous:
         low, high = edges[f"{c}_min"], edges[f"{c}_max"]
         codes.append(F.lit(None).cast("string") if low is None else _bin(c, low, high))
-    coded = numbers.select(spec.model, F.array(*[F.coalesce(c, F.lit(UNKNOWN)) for c in codes]).alias("codes"))
+    sizes = model_sizes(both, spec.model)
+    numbered = {m: i for i, m in enumerate(sorted(sizes, key=str))}
+    place = lookup(F.coalesce(F.col(spec.model), F.lit("")), {m or "": i for m, i in numbered.items()})
+    coded = numbers.select(place.alias("m"), *[F.xxhash64(F.coalesce(c, F.lit(UNKNOWN))).alias(f"c{i}") for i, c in enumerate(codes)])
     pairs = [(i, j) for i, j in combinations(range(len(columns)), 2) if i < len(spec.categorical)]
-    places = F.array(*[F.struct(F.lit(n).alias("pair"), F.lit(i).alias("i"), F.lit(j).alias("j"))
+    hashed = F.array(*[F.struct(F.lit(n).cast("short").alias("pair"), F.xxhash64(F.lit(n), f"c{i}", f"c{j}").alias("cell"))
                        for n, (i, j) in enumerate(pairs)])
-    cells = (
-        coded.select(spec.model, "codes", F.inline(places))
-        .groupBy(spec.model, "pair", F.get("codes", F.col("i")).alias("a"), F.get("codes", F.col("j")).alias("b"))
-        .agg(F.count("*").alias("n"))
-    )
-    scores = _tv_complement(cells, "pair", ["a", "b"], spec.model, model_sizes(both, spec.model))
+    exploded = coded.select("m", F.inline(hashed))
+    if len(sizes) <= MODELS_SIDE_BY_SIDE:
+        cells = exploded.groupBy("pair", "cell").agg(*[F.count_if(F.col("m") == i).alias(f"n{i}") for i in numbered.values()])
+        p_real = F.col(f"n{numbered[REAL]}") / F.lit(sizes[REAL])
+        gaps = [F.sum(F.when(F.col(f"n{i}") > 0, F.abs(p_real - F.col(f"n{i}") / F.lit(sizes[m])) - p_real)).alias(f"g{i}")
+                for m, i in numbered.items() if m != REAL]
+        each = F.array(*[F.struct(F.lit(m).alias(spec.model), (1 - 0.5 * (1 + F.col(f"g{i}"))).alias("score"))
+                         for m, i in numbered.items() if m != REAL])
+        scores = cells.groupBy("pair").agg(*gaps).select("pair", F.inline(each)) if len(numbered) > 1 else None
+    if len(sizes) > MODELS_SIDE_BY_SIDE or len(numbered) < 2:
+        names = F.array(*[F.lit(m) for m in numbered])
+        cells = exploded.groupBy(F.get(names, F.col("m")).alias(spec.model), "pair", "cell").agg(F.count("*").alias("n"))
+        scores = _tv_complement(cells, "pair", ["cell"], spec.model, sizes)
     first = F.array(*[F.lit(columns[i]) for i, _ in pairs])
     second = F.array(*[F.lit(columns[j]) for _, j in pairs])
-    return scores.select(spec.model, F.get(first, F.col("pair")).alias("column_a"),
-                         F.get(second, F.col("pair")).alias("column_b"), "score")
+    return scores.select(spec.model, F.get(first, F.col("pair").cast("int")).alias("column_a"),
+                         F.get(second, F.col("pair").cast("int")).alias("column_b"), "score")
 
 
 def column_pair_trends(real: DataFrame, candidates: DataFrame, spec: Spec) -> DataFrame:

@@ -31,15 +31,22 @@ def _local_fit(x: np.ndarray, y: np.ndarray, trust: np.ndarray, share: float) ->
 
 
 def lowess(x: np.ndarray, y: np.ndarray, share: float = SHARE, passes: int = ROBUST_PASSES) -> np.ndarray:
-    """Locally weighted regression at every x with bisquare re-weighting of outliers."""
+    """Locally weighted regression at every x with bisquare re-weighting of outliers.
+
+    Residuals that are rounding noise next to the spread of y count as 0. If most are 0, the others are
+    outliers and get no weight.
+    """
     trust = np.ones(len(x))
     fitted = _local_fit(x, y, trust, share)
+    noise = 1e-10 * max(float(np.ptp(y)), float(np.max(np.abs(y)))) if len(y) else 0.0
     for _ in range(passes):
         residual = np.abs(y - fitted)
+        residual = np.where(residual <= noise, 0.0, residual)
         middle = np.median(residual)
         if middle == 0:
-            break
-        trust = np.where(residual < 6 * middle, (1 - (residual / (6 * middle)) ** 2) ** 2, 0.0)
+            trust = (residual == 0).astype(float)
+        else:
+            trust = np.where(residual < 6 * middle, (1 - (residual / (6 * middle)) ** 2) ** 2, 0.0)
         fitted = _local_fit(x, y, trust, share)
     return fitted
 

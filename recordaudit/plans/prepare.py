@@ -27,7 +27,7 @@ class Prepared:
 
 
 def prepare_tables(raw: DataFrame, is_route_history: Column, generated, dropped, rel: Relations, spec: Spec) -> Prepared:
-    flown = simplify(raw, spec.label, dropped)
+    flown = written(simplify(raw, spec.label, dropped))
     rare = rare_class(flown, spec.label).select(spec.key, *generated)
     routes, places = en.history_dimensions(raw, is_route_history, rel)
     return Prepared(flown, rare, en.enrich_and_clean(rare, routes, places, rel, [spec.key]), routes, places)

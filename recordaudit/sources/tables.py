@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 VARIANT_KEYS = ("model", "state", "size")
@@ -21,13 +23,22 @@ def sink_table(df: DataFrame, path: str, partition_by=VARIANT_KEYS, mode: str =
 
 
 def scan_variants(spark: SparkSession, path: str, models=None, states=None, sizes=None) -> DataFrame:
-    """Read candidate sets by model, state and size; names that do not exist raise."""
+    """Read candidate sets by model, state and size; names that do not exist raise.
+
+    The names are those of the partition folders, taken from the paths of the table's files: nothing is read.
+    """
     table = spark.read.parquet(path)
+    kinds = dict(table.dtypes)
+    known_names: dict[str, set] = {name: set() for name in VARIANT_KEYS}
+    for file in table.inputFiles():
+        for part in unquote(file).split("/"):
+            name, _, value = part.partition("=")
+            if name in known_names:
+                known_names[name].add(int(value) if kinds[name] in ("int", "bigint") else value)
     for name, wanted in zip(VARIANT_KEYS, (models, states, sizes)):
         if wanted is None:
             continue
-        # Directory names only: partition columns are served without reading the files.
-        known = {row[0] for row in table.select(name).distinct().collect()}
+        known = known_names[name]
         unknown = sorted(set(wanted) - known, key=str)
         if unknown:
             raise ValueError(f"unknown {name} values: {unknown}; known: {sorted(known, key=str)}")
