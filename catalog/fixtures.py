@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F  #
 
 from recordaudit.operators import enrich as en
 from recordaudit.operators.prep import binary_label, drop_cancelled, rare_class
-from recordaudit.session import pin_utc, written
+from recordaudit.session import pin_utc, releases, written
 from recordaudit.sources.schema import Relations, Spec
 
 SEED = 45
@@ -185,14 +185,14 @@ def historical_labels(full: DataFrame) -> DataFrame:
     return rows.select(KEY, "model", "label")
 
 
-_prepared: dict[tuple[str, str], DataFrame] = {}
+_prepared: dict[tuple[str, str, int], DataFrame] = {}
 
 
 def prepared_tables(spark: SparkSession, folder: str):
     """The same tables written once per session: preparation is a stage of its own, and every
     evaluation starts from its result."""
     pin_utc(spark)
-    place = (spark.sparkContext.applicationId, folder)
+    place = (spark.sparkContext.applicationId, folder, releases())
     if place not in _prepared:
         _prepared[place] = written(_pool(spark, folder))
     return _split_pool(_prepared[place])

@@ -160,9 +160,17 @@ def utility_trtr(spark, folder) -> DataFrame:
     return fx.rounded(fo.utility(*utility_tables(spark, folder), KEY, "model", "diverted", UTILITY_FEATURES, JUDGE, models=[]))
 
 
+def realism_shares(spark, folder) -> DataFrame:
+    """Rows of every model before and after cleaning, and the share in percent."""
+    full = fx.records(spark, folder)
+    routes = fx.written(fx.en.route_dimension(fx.route_history(full), REL))
+    return fx.written(realism.realism_pct(fx.candidates_generated(full), routes, REL))
+
+
 @query("k9_utility_tatr")
 def utility_tatr(spark, folder) -> DataFrame:
-    return fx.rounded(fo.utility(*utility_tables(spark, folder), KEY, "model", "diverted", UTILITY_FEATURES, JUDGE))
+    scores = fo.utility(*utility_tables(spark, folder), KEY, "model", "diverted", UTILITY_FEATURES, JUDGE)
+    return fx.rounded(scores.join(realism_shares(spark, folder), "model", "left"))
 
 
 @query("k10_utility_score")
@@ -514,19 +522,20 @@ def similarity_report(spark, folder) -> DataFrame:
 
 @query("n3_fidelity_report")
 def fidelity_report(spark, folder) -> DataFrame:
-    """Cross-validated scores with display names, and the holdout matrix of each model."""
+    """Cross-validated scores with display names, and the holdout's report by class, of every model."""
     real, candidates = fidelity_tables(spark, folder)
     scores = fo.fidelity_cv(real, candidates, KEY, "model", GENERATED_FEATURES, JUDGE)
     holdout = fo.fidelity_holdout(real, candidates, KEY, "model", GENERATED_FEATURES, JUDGE)
-    counts = metrics.confusion_counts(holdout, ["model"])
-    return fx.rounded(reports.named(scores.join(counts, "model")))
+    report = metrics.classification_report(fx.written(metrics.confusion_counts(holdout, ["model"])), ["model"])
+    report = report.withColumnsRenamed({c: f"holdout_{c}" for c in ("precision", "recall", "f1", "support")})
+    return fx.rounded(reports.named(scores.join(report, "model")))
 
 
 @query("n4_utility_report")
 def utility_report(spark, folder) -> DataFrame:
     results = fo.utility(*utility_tables(spark, folder), KEY, "model", "diverted", UTILITY_FEATURES,
                          JUDGE)
-    return fx.rounded(reports.utility_report(results))
+    return fx.rounded(reports.utility_report(results.join(realism_shares(spark, folder), "model", "left")))
 
 
 @query("n5_class_balance_report", SQL("""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from catalog import fixtures as fx
 from catalog.registry import query
 from recordaudit.operators import density, diversity, similarity as sim
+from recordaudit.operators.prep import numeric_columns
 
 SQL = fx.with_views
 SPEC, GEN = fx.SPEC, fx.GEN_SPEC
@@ -225,29 +226,35 @@ def kde_density(spark, folder) -> DataFrame:
 
 # ---------------------------------------------------------------- components
 
-COMPONENT_COLUMNS = [c for c in ("quarter", "day_of_week", *fx.SPEC.numeric)]
+def component_columns(real: DataFrame) -> list[str]:
+    """Every numeric column of the table, by type; one that never changes has no direction."""
+    return numeric_columns(real, without=[fx.SPEC.label])
 
 
 def scaled_pools(spark, folder):
+    """Scaled real rows and candidates, and the scaled columns."""
     real, candidates = pools(spark, folder)
-    return diversity.scale_for_components(real.withColumn("model", F.lit("real")), candidates, COMPONENT_COLUMNS)
+    columns = component_columns(real)
+    return (*diversity.scale_for_components(real.withColumn("model", F.lit("real")), candidates, columns), columns)
 
 
 @query("j1_pca_explained")
 def pca_explained(spark, folder) -> DataFrame:
-    return fx.rounded(diversity.pca_explained(scaled_pools(spark, folder)[0], COMPONENT_COLUMNS))
+    real, _, columns = scaled_pools(spark, folder)
+    return fx.rounded(diversity.pca_explained(real, columns))
 
 
 @query("f1_cumulative_variance")
 def cumulative_variance(spark, folder) -> DataFrame:
-    explained = diversity.pca_explained(scaled_pools(spark, folder)[0], COMPONENT_COLUMNS)
+    real, _, columns = scaled_pools(spark, folder)
+    explained = diversity.pca_explained(real, columns)
     return fx.rounded(diversity.cumulative_variance(explained.select("component", (F.col("ratio") * 100).alias("ratio"))))
 
 
 @query("j2_pca_project")
 def pca_project(spark, folder) -> DataFrame:
-    real, candidates = scaled_pools(spark, folder)
-    real_points, points = diversity.pca_project(real, [real, candidates], COMPONENT_COLUMNS, [fx.KEY, "model"])
+    real, candidates, columns = scaled_pools(spark, folder)
+    real_points, points = diversity.pca_project(real, [real, candidates], columns, [fx.KEY, "model"])
     return fx.rounded(real_points.unionByName(points))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _test_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_tables: dict[str, list[str]] = {}
+_releases = 0
 
 
 def pin_utc(spark: SparkSession) -> None:
@@ -49,9 +51,25 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables this application has written. Call it when results that were made from them
+    have been read or stored; a result is lazy and needs its tables until then."""
+    global _releases
+    _releases += 1
+    for path in _tables.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def releases() -> int:
+    """Number of releases so far: what was kept from before the last one is gone."""
+    return _releases
+
+
 def range_count(spark: SparkSession) -> int:
     """Number of value ranges for two-level prefix sums: follows the session's parallelism."""
     return max(16, min(8192, int(spark.conf.get("spark.sql.shuffle.partitions"))))
