@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from catalog import fixtures as fx
 from catalog.basics import REL, scratch
 from catalog.learning import LEAKAGE_FREE, uniform_sql
-from catalog.quality import QUALITY, pools
+from catalog.quality import QUALITY, number_sql, pools
 from catalog.registry import query
 from recordaudit.functions import scalars as sc
 from recordaudit.functions.scalars import hash_uniform
@@ -470,6 +470,38 @@ def copula_fit(spark, folder) -> DataFrame:
     return fx.rounded(grid.union(joint))
 
 
+def marginals_sql(steps: int = co.GRID - 1) -> str:
+    """Quantiles, category intervals and shares of unknown values of the generated real rows."""
+    shares = "[" + ", ".join(f"{i}/{steps}.0::double" for i in range(steps + 1)) + "]"
+    numbers = fx.GEN_SPEC.numeric + fx.GEN_SPEC.datetime
+    longs = " union all ".join(f"select '{c}' as c, {number_sql(c)} as v from own" for c in numbers)
+    cats = " union all ".join(f"select '{c}' as c, cast({c} as varchar) as v from own" for c in fx.GEN_SPEC.categorical)
+    gone = " union all ".join(f"select 'unknown', '{c}', '', round(avg(case when {c} is null then 1.0 else 0.0 end), 4), null from own"
+                              for c in fx.GEN_SPEC.categorical + numbers)
+    return f""", own as (select * from pool where model = 'real'),
+longs as ({longs}), cats as ({cats}),
+grid as (select c, unnest(range({steps + 1})) as i, unnest(quantile_cont(v, {shares})) as v from longs where v is not null group by c),
+counted as (select c, v, count(*) as n from cats where v is not null group by c, v),
+reach as (select c, v, n, sum(n) over (partition by c order by v) as upto, sum(n) over (partition by c) as total from counted)
+select 'quantile' as part, c as column_name, cast(i as varchar) as key, round(v + 1e-7, 4) as low, null::double as high from grid
+union all select 'interval', c, v, round((upto - n) / total, 4), round(upto / total, 4) from reach
+union all {gone}"""
+
+
+@query("m1_copula_marginals", SQL(RESULTS_SQL + marginals_sql()))
+def copula_marginals(spark, folder) -> DataFrame:
+    """The fitted marginals: quantiles of numbers, intervals of categories, and the share of unknown values."""
+    copula, _ = fitted_copula(spark, folder)
+    last = co.GRID - 1
+    grid = copula.grid_table(spark).select(
+        F.lit("quantile").alias("part"), "column_name", F.round(F.col("share") * last).cast("int").cast("string").alias("key"),
+        (F.col("value") + 1e-7).alias("low"), F.lit(None).cast("double").alias("high"))  # no ties when rounded
+    intervals = copula.categories.select(F.lit("interval"), "column_name", "value", "low", "high")
+    unknown = spark.createDataFrame([("unknown", c, "", float(v), None) for c, v in copula.null_share.items()],
+                                    "part string, column_name string, key string, low double, high double")
+    return fx.rounded(grid.union(intervals).union(unknown), 4)
+
+
 @query("m2_copula_sample")
 def copula_sample(spark, folder) -> DataFrame:
     """As many new rows as there are real ones."""
