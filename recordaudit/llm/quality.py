@@ -77,7 +77,8 @@ def default_rules() -> list[Rule]:
     letters = F.size(F.filter(words, lambda w: w.rlike(r"\p{L}")))
     return [
         Rule("symbols", F.col("m_n_symbols") * 10 > F.col("m_n_words"), F.lit(1.0)),
-        Rule("duplicate lines", F.col("m_n_dup_lines") * 10 > F.col("m_n_lines") * 3, F.lit(1.0)),
+        # A share says little about a few lines: three repeats at least.
+        Rule("duplicate lines", (F.col("m_n_dup_lines") >= 3) & (F.col("m_n_dup_lines") * 10 > F.col("m_n_lines") * 3), F.lit(1.0)),
         Rule("word length", (F.col("m_word_chars") < F.col("m_n_words") * 3) | (F.col("m_word_chars") > F.col("m_n_words") * 12), F.lit(1.0)),
         Rule("shouting", F.length(_without(text, "".join(map(chr, range(65, 91))))) * 2 < F.length(text), F.length(text).cast("double")),
         Rule("words without letters", letters * 10 < F.col("m_n_words") * 7, F.col("m_word_chars").cast("double")),

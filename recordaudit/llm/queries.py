@@ -104,7 +104,7 @@ f as (
 b as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f),
 q as (
-  select *, not base_failed and n_symbols * 10 <= n_words and n_dup_lines * 10 <= n_lines * 3
+  select *, not base_failed and n_symbols * 10 <= n_words and (n_dup_lines < 3 or n_dup_lines * 10 <= n_lines * 3)
          and word_chars >= n_words * 3 and word_chars <= n_words * 12
          and length(regexp_replace(text, '[A-Z]', '', 'g')) * 2 >= length(text)
          and n_letters * 10 >= n_words * 7 as kept

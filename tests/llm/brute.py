@@ -50,7 +50,7 @@ def quality(text):
     chars, symbols, dups = sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines))
     failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
     capitals, letters = sum("A" <= c <= "Z" for c in text), sum(any(c.isalpha() for c in x) for x in w)
-    kept = (not failed and symbols * 10 <= len(w) and dups * 10 <= len(lines) * 3 and len(w) * 3 <= chars <= len(w) * 12
+    kept = (not failed and symbols * 10 <= len(w) and (dups < 3 or dups * 10 <= len(lines) * 3) and len(w) * 3 <= chars <= len(w) * 12
             and (len(text) - capitals) * 2 >= len(text) and letters * 10 >= len(w) * 7)
     return len(w), chars, symbols, dups, len(covered), failed, kept
 
