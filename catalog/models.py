@@ -276,34 +276,38 @@ def axis_extent(spark, folder) -> DataFrame:
     return fx.rounded(trend.axis_extent(results.where("model <> 'TRTR'"), "pr_auc", F.lit(base)))
 
 
-def lowess_sql(share: float = trend.SHARE, passes: int = trend.ROBUST_PASSES) -> str:
-    """Tricube-weighted lines around every size by a self join, then bisquare passes on the residuals."""
-    parts = [f"""points as (select model, cast(size_before as double) as x, avg(pr_auc) as y from results
-  where model <> 'TRTR' and size_before is not null and pr_auc is not null group by 1, 2),
-marks as (select model, greatest(2, cast(floor({share} * count(*) + 1e-10) as bigint)) as k,
-  1e-10::double * greatest(max(y) - min(y), max(abs(y))) as noise, greatest(1.0, max(x) - min(x)) as extent from points group by model),
-gaps as (select a.model, a.x, a.y, b.x as bx, b.y as yb, abs(a.x - b.x) as gap,
-  row_number() over (partition by a.model, a.x order by abs(a.x - b.x)) as rn from points a join points b on a.model = b.model),
-reach as (select model, x, gap as reach from gaps join marks using (model) where rn = k),
-near as (select model, x, y, bx, yb, case when reach > 0 then gap / reach when gap > 0 then 1.0::double else 0.0::double end as c
-  from gaps join reach using (model, x)),
-weights as (select model, x, y, bx, yb, case when c < 1 then power(1 - power(c, 3), 3) else 0.0::double end as w from near),
-trust0 as (select model, x as bx, 1.0::double as trust from points)"""]
+def lowess_sql(tag: str = "", x: str = "size_before", y: str = "pr_auc", share: float = trend.SHARE, passes: int = trend.ROBUST_PASSES) -> str:
+    """Table expressions up to fit{tag}: tricube-weighted lines around every size by a self join, then bisquare passes on the residuals."""
+    t = tag
+    parts = [f"""points{t} as (select model, cast({x} as double) as x, avg({y}) as y from results
+  where model <> 'TRTR' and {x} is not null and {y} is not null group by 1, 2),
+marks{t} as (select model, greatest(2, cast(floor({share} * count(*) + 1e-10) as bigint)) as k,
+  1e-10::double * greatest(max(y) - min(y), max(abs(y))) as noise, greatest(1.0, max(x) - min(x)) as extent from points{t} group by model),
+gaps{t} as (select a.model, a.x, a.y, b.x as bx, b.y as yb, abs(a.x - b.x) as gap,
+  row_number() over (partition by a.model, a.x order by abs(a.x - b.x)) as rn from points{t} a join points{t} b on a.model = b.model),
+reach{t} as (select model, x, gap as reach from gaps{t} join marks{t} using (model) where rn = k),
+near{t} as (select model, x, y, bx, yb, case when reach > 0 then gap / reach when gap > 0 then 1.0::double else 0.0::double end as c
+  from gaps{t} join reach{t} using (model, x)),
+weights{t} as (select model, x, y, bx, yb, case when c < 1 then power(1 - power(c, 3), 3) else 0.0::double end as w from near{t}),
+trust{t}0 as (select model, x as bx, 1.0::double as trust from points{t})"""]
     for i in range(passes + 1):
-        parts.append(f"""w{i} as (select model, x, y, bx, yb, w * trust as w from weights join trust{i} using (model, bx)),
-means{i} as (select model, x, sum(w) as mass, sum(w * bx) / sum(w) as mx, sum(w * yb) / sum(w) as my from w{i} group by model, x),
-lines{i} as (select model, x, any_value(y) as y, any_value(mass) as mass, any_value(mx) as mx, any_value(my) as my,
-  sum(w * power(bx - mx, 2)) as spread, sum(w * (bx - mx) * yb) as joint from w{i} join means{i} using (model, x) group by model, x),
-fit{i} as (select model, x, y, case when mass > 0 then my + case when spread <= 1e-12 * power(extent, 2) then 0 else joint / spread end * (x - mx)
-  else y end as fitted, noise from lines{i} join marks using (model)),
-left{i} as (select model, x, case when abs(y - fitted) <= noise then 0.0::double else abs(y - fitted) end as r from fit{i}),
-middle{i} as (select model, median(r) as middle from left{i} group by model),
-trust{i + 1} as (select model, x as bx, case when middle = 0 then case when r = 0 then 1.0::double else 0.0::double end
-  when r < 6 * middle then power(1 - power(r / (6 * middle), 2), 2) else 0.0::double end as trust from left{i} join middle{i} using (model))""")
-    return ", " + ", ".join(parts) + f" select model, x as size_before, round(y, 6) as pr_auc, round(fitted, 6) as trend from fit{passes}"
-
-
-@query("f3_lowess_trend", SQL(RESULTS_SQL + lowess_sql()))
+        end = "" if i == passes else f"_{i}"
+        parts.append(f"""w{t}{i} as (select model, x, y, bx, yb, w * trust as w from weights{t} join trust{t}{i} using (model, bx)),
+means{t}{i} as (select model, x, sum(w) as mass, sum(w * bx) / sum(w) as mx, sum(w * yb) / sum(w) as my from w{t}{i} group by model, x),
+lines{t}{i} as (select model, x, any_value(y) as y, any_value(mass) as mass, any_value(mx) as mx, any_value(my) as my,
+  sum(w * power(bx - mx, 2)) as spread, sum(w * (bx - mx) * yb) as joint from w{t}{i} join means{t}{i} using (model, x) group by model, x),
+fit{t}{end} as (select model, x, y, case when mass > 0 then my + case when spread <= 1e-12 * power(extent, 2) then 0 else joint / spread end * (x - mx)
+  else y end as fitted, noise from lines{t}{i} join marks{t} using (model))""")
+        if i < passes:
+            parts.append(f"""left{t}{i} as (select model, x, case when abs(y - fitted) <= noise then 0.0::double else abs(y - fitted) end as r from fit{t}{end}),
+middle{t}{i} as (select model, median(r) as middle from left{t}{i} group by model),
+trust{t}{i + 1} as (select model, x as bx, case when middle = 0 then case when r = 0 then 1.0::double else 0.0::double end
+  when r < 6 * middle then power(1 - power(r / (6 * middle), 2), 2) else 0.0::double end as trust from left{t}{i} join middle{t}{i} using (model))""")
+    return ", " + ", ".join(parts)
+
+
+@query("f3_lowess_trend", SQL(RESULTS_SQL + lowess_sql() + """
+select model, x as size_before, round(y, 6) as pr_auc, round(fitted, 6) as trend from fit"""))
 def lowess_trend(spark, folder) -> DataFrame:
     results = sweep_results(spark, folder).where("model <> 'TRTR'")
     return fx.rounded(trend.lowess_trend(results, "model", "size_before", "pr_auc"))
@@ -588,15 +592,29 @@ def class_balance_report(spark, folder) -> DataFrame:
         "display", "delayed_dep_pct", "on_time_dep_pct", "delayed_arr_pct", "on_time_arr_pct", "is_optimised").distinct()
 
 
-@query("n6_augmentation_report", SQL(RESULTS_SQL + f""", high as (select max(pr_auc) as high, min(pr_auc) as low from results)
-select model, size_before, size_after, pr_auc, normalised_mcc, {BASELINE_SQL}, {DISPLAY_SQL},
-  round(low - 0.05::double * (high - low), 6) as axis_low, round(high + 5.5::double * 0.05::double * (high - low), 6) as axis_high
-from results, high where model <> 'TRTR' and model <> 'GC'"""))
+PANELS = [(x, y) for x in ("size_before", "size_after") for y in ("pr_auc", "normalised_mcc")]
+PANEL_SQL = " union all ".join(f"""
+select model, '{x}' as axis, '{y}' as metric, x as size, round(y, 6) as value, round(fitted, 6) as trend,
+  (select round(max({y}), 6) from results where model = 'TRTR') as trtr,
+  (select round(min({y}) - 0.05::double * (max({y}) - min({y})), 6) from results) as axis_low,
+  (select round(max({y}) + 5.5::double * 0.05::double * (max({y}) - min({y})), 6) from results) as axis_high,
+  (select count(*) filter (diverted = 0) - count(*) filter (diverted = 1) from record where status not in ('C', 'S')) as class_balance_point,
+  {DISPLAY_SQL} from fit_{x}_{y} where model <> 'GC'""" for x, y in PANELS)
+
+
+@query("n6_augmentation_report", SQL(RESULTS_SQL + "".join(lowess_sql(f"_{x}_{y}", x, y) for x, y in PANELS) + PANEL_SQL))
 def augmentation_report(spark, folder) -> DataFrame:
-    """All sizes of all but the excluded model, next to the baseline, with the limits of the axis."""
+    """Four panels (size before and after cleaning, both metrics): all sizes of all but the excluded model with their
+    trend, next to the baseline, with the limits of the axis and the rows that would balance the classes."""
     results = fx.written(sweep_results(spark, folder).drop("file_no").distinct())
-    base = results.where("model = 'TRTR'").select("pr_auc").first()[0]
-    limits = trend.axis_extent(results.where("model <> 'TRTR'"), "pr_auc", F.lit(base)).first()
-    table = reports.named(reports.split_baseline(results, ["pr_auc", "normalised_mcc"])).where(~F.col("model").isin("GC"))
-    return fx.rounded(table.withColumns({"axis_low": F.lit(limits.low - limits.margin),
-                                         "axis_high": F.lit(limits.high + 5.5 * limits.margin)}))
+    base = results.where("model = 'TRTR'").select("pr_auc", "normalised_mcc").first()
+    balanced = class_balance_point(spark, folder).first()[0]
+    others, panels = results.where("model <> 'TRTR'"), None
+    for x, y in PANELS:
+        limits = trend.axis_extent(others, y, F.lit(base[y])).first()
+        panel = trend.lowess_trend(others, "model", x, y).where(~F.col("model").isin("GC")).select(
+            "model", F.lit(x).alias("axis"), F.lit(y).alias("metric"), F.col(x).alias("size"), F.col(y).alias("value"), "trend",
+            F.lit(base[y]).alias("trtr"), F.lit(limits.low - limits.margin).alias("axis_low"),
+            F.lit(limits.high + 5.5 * limits.margin).alias("axis_high"))
+        panels = panel if panels is None else panels.unionByName(panel)
+    return fx.rounded(reports.named(panels.withColumn("class_balance_point", F.lit(balanced).cast("bigint"))))
