@@ -317,6 +317,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     dropped = judged.filter(~F.col("kept")).select("doc_id").distinct()
     again = judged.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     rest = docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["doc_id"]), "left_anti")
+    if again.isEmpty():  # no repeated rows: the texts are joined once
+        return rest
     id_of = rest["doc_id"].cast("long")
     once = rest.join(again, id_of.eqNullSafe(again["doc_id"]), "left_anti")
     repeated = rest.join(again, id_of.eqNullSafe(again["doc_id"]), "left_semi")
