@@ -389,7 +389,8 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, layouts: int = LAYOU
             found = [x for s, h in zip(batch["seed"], batch["html"]) for x in labelled(h, str(s), layouts)]
             yield pd.DataFrame({"x": [f for f, _ in found], "label": [c for _, c in found]})
 
-    data = written(chosen.unionByName(seeded).mapInPandas(rows, "x array<double>, label double").coalesce(2))
+    data = written(chosen.unionByName(seeded).mapInPandas(rows, "x array<double>, label double"))
+    data = data.coalesce(2)  # the sampled rows are few; the scan above keeps its partitions
     model = GBTClassifier(featuresCol="v", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11, maxBins=64).fit(
         data.select(array_to_vector("x").alias("v"), "label"))
     return export(model)
