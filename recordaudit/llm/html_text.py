@@ -27,7 +27,7 @@ from recordaudit.session import ship, written
 #: Bounds of the training set: pages sampled, layouts built from each, characters of a page that may be sampled.
 SAMPLE_PAGES, LAYOUTS, SAMPLE_CHARS = 200, 4, 100_000
 #: Pages of built-in sentences in every training set, so that a small or empty table has one too.
-SEED_PAGES = 16
+SEED_PAGES = 64
 TREES, DEPTH = 24, 5
 
 #: Quoted values are matched up to a bound, so that an unclosed quote costs no more than that.
@@ -141,7 +141,7 @@ class Page:
             self.depths.append(len(stack))
             self.against.append(against)
             self.favour.append(favour)
-            if tag in _VOID or rest.endswith("/"):
+            if tag in _VOID:
                 continue
             if tag in _RAW_TEXT:
                 end = _RAW_TEXT[tag].search(source, at)
@@ -333,14 +333,18 @@ def _layout(paragraphs: list[str], notes: list[str], links: list[str], draw: ran
                 f'<div class="comment" data-mark=0><p data-mark=0>{prose()}</p></div>' for _ in range(draw.randint(1, 4)))),
         }[kind]()
 
-    body = [f"<h1 data-mark=1>{prose()[:80]}</h1>"] if draw.random() < 0.9 else []
+    # Some articles say very little.
+    brief = draw.random() < 0.25
+    said = lambda: e(" ".join(pick(paragraphs).split()[:draw.randint(1, 5)])) if brief else prose()
+    aside = lambda: e(" ".join(pick(notes).split()[:draw.randint(1, 4)])) if brief else note()
+    body = [f"<h1 data-mark=1>{said()[:80]}</h1>"] if draw.random() < 0.9 else []
     for _ in range(draw.choice((1, 1, 2, 3, 5, 8, 12, 20))):
         body.append(pick((
-            f"<p data-mark=1>{prose()}</p>", f"<p data-mark=1>{prose()}</p>", f"<p data-mark=1><b data-mark=1>{prose()}</b><br></p>",
-            f'<p data-mark=1>{prose()} <a href="/y" data-mark=1>{e(pick(links))}</a> {note()}</p>', f"<p data-mark=1>{note()}</p>",
-            f"<h2 data-mark=1>{note()}</h2>", f"<blockquote data-mark=1>{prose()}</blockquote>",
-            f"<ul data-mark=1><li data-mark=1>{prose()}</li><li data-mark=1>{note()}</li></ul>",
-            f"<div data-mark=1>{prose()}</div>", f"<table data-mark=1><tr data-mark=1><td data-mark=1>{note()}</td></tr></table>",
+            f"<p data-mark=1>{said()}</p>", f"<p data-mark=1>{said()}</p>", f"<p data-mark=1><b data-mark=1>{said()}</b><br></p>",
+            f'<p data-mark=1>{said()} <a href="/y" data-mark=1>{e(pick(links))}</a> {aside()}</p>', f"<p data-mark=1>{aside()}</p>",
+            f"<h2 data-mark=1>{aside()}</h2>", f"<blockquote data-mark=1>{said()}</blockquote>",
+            f"<ul data-mark=1><li data-mark=1>{said()}</li><li data-mark=1>{aside()}</li></ul>",
+            f"<div data-mark=1>{said()}</div>", f"<table data-mark=1><tr data-mark=1><td data-mark=1>{aside()}</td></tr></table>",
         )))
     for kind in ("ad", "aside", "newsletter", "form", "comments", "notice", "nav"):
         if draw.random() < 0.15:
