@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from recordaudit.llm.hashing import Words, chunks, mix, prefix, windows
+from recordaudit.llm.hashing import Words, chunks, lean, mix, prefix, windows
 from recordaudit.session import ship
 
 #: Word edits (changed, missing or added words) an item may differ by, as a share of its words.
@@ -174,7 +174,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_
                     [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))],
                     ["doc_id", "item_id", "distance", "first_word", "last_word"])
 
-        result = result.unionByName(rows.mapInArrow(look, schema))
+        result = result.unionByName(rows.mapInArrow(lean(look), schema))
     return result
 
 
@@ -192,5 +192,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_
                 texts = batch.column(0).field("text").cast(pa.binary()).to_pylist()
                 yield batch.filter(pa.array([not found for found in search(shipped.value, texts)], pa.bool_()))
 
-        rows = rows.mapInArrow(keep, rows.schema)
+        rows = rows.mapInArrow(lean(keep), rows.schema)
     return rows.select("row.*")

@@ -6,9 +6,11 @@ cost follows the number of bytes and the memory is bounded by the chunk (or by t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -21,6 +23,23 @@ _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint
 _powers: dict[str, np.ndarray] = {}
 
 
+def lean(task: Callable) -> Callable:
+    """The task of a partition, after which its worker returns freed memory to the system.
+
+    Spark keeps workers for later stages; what an idle one holds would count against the executor's next stage.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser: spreads every input bit over the result."""
     h = h ^ (h >> np.uint64(33))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordaudit.llm.hashing import Words, chunks, grams, mix
+from recordaudit.llm.hashing import Words, chunks, grams, lean, mix
 from recordaudit.session import ship, written
 
 SHINGLE = 5
@@ -80,7 +80,7 @@ def describe(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, node, signature) per document; node is null for an empty set."""
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _describe, "doc_id long, n_shingles long, node binary, signature binary")
+        lean(_describe), "doc_id long, n_shingles long, node binary, signature binary")
 
 
 def _keys(depth: int):
@@ -115,14 +115,14 @@ def _sized(keys: DataFrame) -> DataFrame:
 def regions(nodes: DataFrame) -> DataFrame:
     """(key, node, members): regions of all trees, split by longer prefixes while they have more than FULL nodes."""
     keyed = "node binary, tree int, key long"
-    current = written(_sized(nodes.select("node", "signature").mapInArrow(_keys(BASE_DEPTH), keyed)))
+    current = written(_sized(nodes.select("node", "signature").mapInArrow(lean(_keys(BASE_DEPTH)), keyed)))
     parts = [current.filter(F.col("members") <= FULL)]
     depth = BASE_DEPTH
     over = current.filter(F.col("members") > FULL)
     while depth < LAST_DEPTH and not over.isEmpty():
         depth += STEP
         deeper = over.select("node", "tree").join(nodes.select("node", "signature"), "node").select("node", "signature", "tree")
-        current = written(_sized(deeper.mapInArrow(_keys(depth), keyed)))
+        current = written(_sized(deeper.mapInArrow(lean(_keys(depth)), keyed)))
         parts.append(current.filter(F.col("members") <= FULL))
         over = current.filter(F.col("members") > FULL)
     if not over.isEmpty():
@@ -284,19 +284,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chosen = described.join(nodes.join(wanted, "node", "left_semi").select("node", F.col("least").alias("doc_id")), ["node", "doc_id"], "left_semi")
     chosen = chosen.select("doc_id", "node").filter("doc_id is not null").distinct()
     sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("node", "text")
-                   .mapInArrow(_full_sets, "node binary, shingles binary"))
+                   .mapInArrow(lean(_full_sets), "node binary, shingles binary"))
 
     pair = "a binary, b binary"
     sparse = members.filter(F.col("members") <= SMALL).join(nodes, "node").select("key", "node", "n_shingles", "signature")
-    pairs = sparse.repartition("key").sortWithinPartitions("key").mapInArrow(_likely, pair).distinct()
+    pairs = sparse.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_likely), pair).distinct()
     confirmed = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        .select("a", "b", "x", "y").mapInArrow(_confirm, pair)
+        .select("a", "b", "x", "y").mapInArrow(lean(_confirm), pair)
     )
     dense = (members.filter(F.col("members") > SMALL).join(nodes, "node").join(sets, "node")
              .select("key", "node", "signature", "shingles"))
-    compared = dense.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_regions, pair)
+    compared = dense.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_compare_regions), pair)
     roots = written(components(confirmed.unionByName(compared)))
 
     named = roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("linked_id"))

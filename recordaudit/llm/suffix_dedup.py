@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordaudit.llm.hashing import _TABLE, chunks, mix, powers, prefix, sliding_max, sliding_min, windows
+from recordaudit.llm.hashing import _TABLE, chunks, lean, mix, powers, prefix, sliding_max, sliding_min, windows
 from recordaudit.llm.run_index import RunIndex
 from recordaudit.session import ship, written
 
@@ -415,12 +415,12 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     else:
         rows = written(_numbered(rows.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))))
         once = rows.dropDuplicates(["document"])
-    found = once.select("document", "text").mapInArrow(_find(buckets), BLOBS)
-    settled = written(found.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_settle_buckets(groups), BLOBS))
+    found = once.select("document", "text").mapInArrow(lean(_find(buckets)), BLOBS)
+    settled = written(found.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(lean(_settle_buckets(groups)), BLOBS))
     grouped = rows.withColumn("key", _group_column(groups))
     asked = settled.filter(F.col("kind") == _C)
     answers = grouped.select("key", "document", "text").groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(_answer(buckets, groups), BLOBS)
-    compared = written(answers.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_compare(groups), BLOBS))
+    compared = written(answers.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(lean(_compare(groups)), BLOBS))
     copies = settled.filter(F.col("kind") == _R).unionByName(compared)
     return grouped.groupBy("key").cogroup(copies.groupBy("key")).applyInArrow(
         _finish, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
