@@ -30,6 +30,8 @@ FULL = 1024
 #: Equal signature values a pair needs to be compared: four and a half standard deviations below those of a pair at
 #: the threshold (54 of 64), so that a link is missed with a chance of about 1 in 300,000.
 LIKELY = 42
+#: The side of nodes that are compared with all others of their group.
+ALL = 2
 
 _rng = np.random.default_rng(1789)
 _FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,8 +114,11 @@ def _sized(keys: DataFrame) -> DataFrame:
     return keys.join(sizes, "key")
 
 
-def regions(nodes: DataFrame) -> DataFrame:
-    """(key, node, members): regions of all trees, split by longer prefixes while they have more than FULL nodes."""
+def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, node, members): regions of all trees, split by longer prefixes while they have more than FULL nodes.
+
+    The second table (key, node) has the regions whose splits leave pairs out; ``across`` compares these.
+    """
     keyed = "node binary, tree int, key long"
     current = written(_sized(nodes.select("node", "signature").mapInArrow(lean(_keys(BASE_DEPTH)), keyed)))
     parts = [current.filter(F.col("members") <= FULL)]
@@ -126,14 +131,14 @@ def regions(nodes: DataFrame) -> DataFrame:
         parts.append(current.filter(F.col("members") <= FULL))
         over = current.filter(F.col("members") > FULL)
     if not over.isEmpty():
-        # Nodes that agree in LAST_DEPTH values of one order are alike many times over: parts of them by hash, in
-        # which each is compared with up to FULL others, besides those that the other trees bring.
-        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") * 2 / FULL))
+        # Nodes that agree in LAST_DEPTH values of one order are alike many times over: parts of them by hash, other
+        # ones in every tree, join most of them before all that is still apart is compared.
+        part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("members") * 2 / FULL))
         parts.append(over.withColumn("key", F.xxhash64("key", part)).withColumn("members", F.lit(FULL).cast("long")))
     result = parts[0]
     for more in parts[1:]:
         result = result.unionByName(more)
-    return result.select("key", "node", "members")
+    return result.select("key", "node", "members"), over.select("key", "node")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -191,7 +196,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _compare_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of fuller regions: each is compared in one place and gives a spanning forest of its links, not all of them."""
+    """Links of fuller regions: each is compared in one place and gives a spanning forest of its links, not all of them.
+
+    Rows are (key, node, signature, shingles, label, side). Nodes with a common label are joined already; nodes of
+    side 0 are compared with those of side 1, or all with each other.
+    """
     for run in _runs(batches):
         run = run.combine_chunks()
         keys = run.column(0).to_numpy()
@@ -201,20 +210,20 @@ def _compare_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             part = run.slice(start, end - start)
             nodes, sets = part.column(1).to_pylist(), [np.frombuffer(s, np.uint64) for s in part.column(3).to_pylist()]
             signature = _matrix(part.column(2).combine_chunks(), np.uint32, HASHES)
-            root = list(range(len(nodes)))
-
-            def find(x: int, root=root) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for i in range(len(nodes) - 1):
-                equal = (signature[i + 1:] == signature[i]).sum(1)
-                for j in (np.flatnonzero(equal >= LIKELY) + i + 1).tolist():
-                    x, y = find(i), find(j)
-                    if x != y and linked(sets[i], sets[j]):
-                        root[max(x, y)] = min(x, y)
+            codes: dict[bytes, int] = {}
+            label = np.array([codes.setdefault(x, len(codes)) for x in part.column(4).to_pylist()])
+            side = part.column(5).to_numpy()
+            if side[0] == ALL:
+                work = ((i, np.arange(i + 1, len(nodes))) for i in range(len(nodes)))
+            else:
+                second = np.flatnonzero(side == 1)
+                work = ((i, second) for i in np.flatnonzero(side == 0).tolist())
+            for i, others in work:
+                others = others[label[others] != label[i]]
+                equal = (signature[others] == signature[i]).sum(1)
+                for j in others[equal >= LIKELY].tolist():
+                    if label[i] != label[j] and linked(sets[i], sets[j]):
+                        label[label == label[j]] = label[i]
                         left.append(min(nodes[i], nodes[j]))
                         right.append(max(nodes[i], nodes[j]))
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
@@ -266,6 +275,25 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
+def across(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, label, side): blocks of crowded regions (key, node), in pairs that cover all nodes still apart.
+
+    ``found`` (node, root) are the components so far. A region's largest one is not compared with itself: the others
+    are, and with it. Blocks have about FULL / 2 nodes, so that no task has more than a full region.
+    """
+    labelled = written(crowded.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label")))
+    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    apart = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels"))
+    apart = apart.filter("labels > 1").select("key", F.col("main.label").alias("main"), F.ceil(F.col("main.n") * 2 / FULL).alias("mains"),
+                                              F.ceil((F.col("all") - F.col("main.n")) * 2 / FULL).alias("rests"))
+    within, is_main = F.xxhash64("node", "key"), F.col("label") == F.col("main")
+    placed = labelled.join(apart, "key").select(
+        "key", "node", "label", F.when(is_main, F.col("rests") + F.pmod(within, "mains")).otherwise(F.pmod(within, "rests")).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") + F.when(is_main, 0).otherwise(F.col("mains")) - 1)).alias("other"))
+    side = F.when(F.col("block") == F.col("other"), ALL).otherwise((F.col("block") > F.col("other")).cast("int"))
+    return placed.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "label", side.alias("side"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and kept, per row of ``docs``.
 
@@ -278,7 +306,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     described = written(describe(docs))
     nodes = written(described.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")))
-    members = written(regions(nodes))
+    members, crowded = regions(nodes)
+    members = written(members)
     wanted = members.select("node").distinct()
     # One text per node that is in a region; the smallest id is enough to find it.
     chosen = described.join(nodes.join(wanted, "node", "left_semi").select("node", F.col("least").alias("doc_id")), ["node", "doc_id"], "left_semi")
@@ -294,10 +323,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", "x", "y").mapInArrow(lean(_confirm), pair)
     )
-    dense = (members.filter(F.col("members") > SMALL).join(nodes, "node").join(sets, "node")
-             .select("key", "node", "signature", "shingles"))
-    compared = dense.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_compare_regions), pair)
-    roots = written(components(confirmed.unionByName(compared)))
+
+    def compared(groups: DataFrame) -> DataFrame:
+        rows = groups.join(nodes, "node").join(sets, "node").select("key", "node", "signature", "shingles", "label", "side")
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_compare_regions), pair)
+
+    dense = members.filter(F.col("members") > SMALL).select("key", "node", F.col("node").alias("label"), F.lit(ALL).alias("side"))
+    links = confirmed.unionByName(compared(dense))
+    roots = written(components(links))
+    if not crowded.isEmpty():
+        rest = written(compared(across(crowded, roots)))
+        if not rest.isEmpty():
+            # A component's links to its root stand for it.
+            roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)))
 
     named = roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("linked_id"))
     linked_ids = roots.join(named, "root").select("node", "linked_id")

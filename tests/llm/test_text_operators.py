@@ -102,6 +102,29 @@ def test_near_duplicates_in_a_crowded_region(spark):
     assert norm(near_dedup.near_duplicates(docs).select("doc_id", "component_id").collect()) == norm(expected)
 
 
+def test_near_duplicates_in_a_region_no_split_parts(spark, monkeypatch):
+    """Long copies with one field of their own: more than a full region of them agree at the last depth."""
+    monkeypatch.setattr(near_dedup, "FULL", 64)
+    base = prose(random.Random(11), 2000, 100000)
+    docs = spark.createDataFrame([(d, f"{base} field{d} {base[:40]}") for d in range(410)], "doc_id long, text string")
+    assert {r.component_id for r in near_dedup.near_duplicates(docs).select("component_id").collect()} == {0}
+
+
+def test_blocks_cover_all_pairs_that_are_apart(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FULL", 16)
+    key = lambda i: i.to_bytes(16, "big")
+    label = {key(i): key(0) if i < 40 else key(40) if i < 50 else key(i) for i in range(80)}
+    crowded = spark.createDataFrame([(7, n) for n in label], "key long, node binary")
+    found = spark.createDataFrame([(n, r) for n, r in label.items() if n < key(50)], "node binary, root binary")
+    groups = {}
+    for r in near_dedup.across(crowded, found).collect():
+        assert bytes(r.label) == label[bytes(r.node)]
+        groups.setdefault(r.key, []).append((bytes(r.node), r.side))
+    pairs = {frozenset((a, b)) for g in groups.values() for a, s in g for b, t in g if s == t == near_dedup.ALL or s < t}
+    assert all(frozenset((a, b)) in pairs for a in label for b in label if label[a] != label[b])
+    assert not any(a != b and label[a] == label[b] == key(0) for a, b in (p if len(p) == 2 else (*p, *p) for p in pairs))
+
+
 def test_components_of_long_chains(spark):
     key = lambda i: i.to_bytes(16, "big")
     chain = [(key(i), key(i + 1)) for i in range(1, 60)] + [(key(100), key(k)) for k in range(101, 130)]
