@@ -2,8 +2,9 @@
 
 A document's set is its distinct five-word shingles. Equal sets become one node. Every tree of the forest sorts the
 nodes by its own order of the signature's values; nodes with a common prefix of ``BASE_DEPTH`` values form a region,
-and their partners there are candidates. A region that is too full is split by longer prefixes until it fits, so the
-depth adapts to how crowded that part of the tree is. Candidates are confirmed on full sets.
+and their partners there are candidates. A region that is too full is split by longer prefixes until it fits, which
+joins most of its nodes; then those still apart are compared with all others of the region, block by block, so that
+no candidate is lost by a split. Candidates are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -117,13 +118,14 @@ def _sized(keys: DataFrame) -> DataFrame:
 def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, node, members): regions of all trees, split by longer prefixes while they have more than FULL nodes.
 
-    The second table (key, node) has the regions whose splits leave pairs out; ``across`` compares these.
+    The second table (key, node) has the regions that were split, whole: nodes that part at a longer prefix lose each
+    other there, so ``across`` compares what the splits have not joined.
     """
     keyed = "node binary, tree int, key long"
     current = written(_sized(nodes.select("node", "signature").mapInArrow(lean(_keys(BASE_DEPTH)), keyed)))
     parts = [current.filter(F.col("members") <= FULL)]
     depth = BASE_DEPTH
-    over = current.filter(F.col("members") > FULL)
+    over = crowded = current.filter(F.col("members") > FULL)
     while depth < LAST_DEPTH and not over.isEmpty():
         depth += STEP
         deeper = over.select("node", "tree").join(nodes.select("node", "signature"), "node").select("node", "signature", "tree")
@@ -138,7 +140,7 @@ def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     result = parts[0]
     for more in parts[1:]:
         result = result.unionByName(more)
-    return result.select("key", "node", "members"), over.select("key", "node")
+    return result.select("key", "node", "members"), crowded.select("key", "node")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -308,7 +310,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")))
     members, crowded = regions(nodes)
     members = written(members)
-    wanted = members.select("node").distinct()
+    wanted = members.select("node").unionByName(crowded.select("node")).distinct()
     # One text per node that is in a region; the smallest id is enough to find it.
     chosen = described.join(nodes.join(wanted, "node", "left_semi").select("node", F.col("least").alias("doc_id")), ["node", "doc_id"], "left_semi")
     chosen = chosen.select("doc_id", "node").filter("doc_id is not null").distinct()

@@ -110,6 +110,23 @@ def test_near_duplicates_in_a_region_no_split_parts(spark, monkeypatch):
     assert {r.component_id for r in near_dedup.near_duplicates(docs).select("component_id").collect()} == {0}
 
 
+def test_near_duplicates_that_leave_a_crowded_region(spark, monkeypatch):
+    """Texts just above the threshold to a crowd's main form part from it at a longer prefix and must come back."""
+    monkeypatch.setattr(near_dedup, "FULL", 64)
+    draw = random.Random(12)
+    base = prose(draw, 400, 5000).split()
+    rows = [(d, " ".join([*base, f"field{d}"])) for d in range(200)]
+    for d in range(200, 260):
+        copy = list(base)
+        for k in range(6):
+            copy[10 + 60 * k + draw.randrange(20)] = f"new{draw.randrange(10 ** 6)}"
+        rows.append((d, " ".join(copy)))
+    expected = [(d, c) for (d, _), (_, c) in zip(rows, brute.near_duplicates(rows))]
+    assert {c for _, c in expected} == {0}
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert norm(found.select("doc_id", "component_id").collect()) == norm(expected)
+
+
 def test_blocks_cover_all_pairs_that_are_apart(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "FULL", 16)
     key = lambda i: i.to_bytes(16, "big")
