@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from recordaudit.llm import decontaminate, line_dedup, mixing, near_dedup, quality
 from recordaudit.session import ship, written
 
+#: Similarity in percent from which documents are near-duplicates in the mix; op1's own threshold is its contract's.
+NEAR = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
@@ -31,7 +34,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, NEAR)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

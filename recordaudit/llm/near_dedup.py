@@ -9,7 +9,9 @@ no candidate is lost by a split. Candidates are confirmed on full sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,23 +22,42 @@ from recordaudit.llm.hashing import Words, chunks, grams, lean, mix
 from recordaudit.session import ship, written
 
 SHINGLE = 5
+#: Least similarity of a link in percent, unless the caller sets another.
 THRESHOLD = 85
 HASHES = 64
-TREES = 20
 BASE_DEPTH, STEP, LAST_DEPTH = 4, 2, 16
 #: Regions up to this many nodes emit their likely pairs; fuller ones are compared where they are.
 SMALL = 32
 #: Regions beyond this are split by longer prefixes.
 FULL = 1024
-#: Equal signature values a pair needs to be compared: four and a half standard deviations below those of a pair at
-#: the threshold (54 of 64), so that a link is missed with a chance of about 1 in 300,000.
-LIKELY = 42
+#: Bounds on the chance that a pair at the threshold shares no region of independent trees, and that its signatures
+#: have fewer equal values than are asked for.
+FOREST_MISS, LIKELY_MISS = 4e-7, 1 / 33_000
 #: The side of nodes that are compared with all others of their group.
 ALL = 2
 
 _rng = np.random.default_rng(1789)
 _FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ORDERS = np.array([_rng.permutation(HASHES)[:LAST_DEPTH] for _ in range(TREES)])
+_after_factors = _rng.bit_generator.state
+
+
+@cache
+def tree_orders(threshold: int) -> np.ndarray:
+    """Orders of the signature's values, one row per tree: as many trees as FOREST_MISS needs at the threshold."""
+    met = (threshold / 100) ** BASE_DEPTH
+    trees = math.ceil(math.log(FOREST_MISS) / math.log1p(-met)) if met < 1 else 1
+    rng = np.random.default_rng()
+    rng.bit_generator.state = _after_factors
+    return np.array([rng.permutation(HASHES)[:LAST_DEPTH] for _ in range(trees)])
+
+
+@cache
+def least_equal(threshold: int) -> int:
+    """Equal signature values a pair needs to be compared: a pair at the threshold has fewer with a chance of LIKELY_MISS at most."""
+    p, k, below = threshold / 100, 0, 0.0
+    while k < HASHES and (below := below + math.comb(HASHES, k) * p**k * (1 - p) ** (HASHES - k)) <= LIKELY_MISS:
+        k += 1
+    return k
 
 
 def _sets(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -86,7 +107,7 @@ def describe(docs: DataFrame) -> DataFrame:
         lean(_describe), "doc_id long, n_shingles long, node binary, signature binary")
 
 
-def _keys(depth: int):
+def _keys(depth: int, orders: np.ndarray) -> Callable:
     """Maps (node, signature, tree or null) to (node, tree, key): key stands for the tree and its first ``depth`` values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,12 +116,12 @@ def _keys(depth: int):
                 continue
             signature = _matrix(batch.column(1), np.uint32, HASHES).astype(np.uint64)
             only = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else None
-            for tree in range(TREES):
+            for tree in range(len(orders)):
                 rows = np.arange(len(batch)) if only is None else np.flatnonzero(only == tree)
                 if not len(rows):
                     continue
                 key = np.full(len(rows), tree + 1, np.uint64)
-                for place in _ORDERS[tree][:depth]:
+                for place in orders[tree][:depth]:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signature[rows, place])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), tree, np.int32)), pa.array(key.view(np.int64))],
@@ -115,21 +136,21 @@ def _sized(keys: DataFrame) -> DataFrame:
     return keys.join(sizes, "key")
 
 
-def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def regions(nodes: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(key, node, members): regions of all trees, split by longer prefixes while they have more than FULL nodes.
 
     The second table (key, node) has the regions that were split, whole: nodes that part at a longer prefix lose each
     other there, so ``across`` compares what the splits have not joined.
     """
-    keyed = "node binary, tree int, key long"
-    current = written(_sized(nodes.select("node", "signature").mapInArrow(lean(_keys(BASE_DEPTH)), keyed)))
+    keyed, orders = "node binary, tree int, key long", tree_orders(threshold)
+    current = written(_sized(nodes.select("node", "signature").mapInArrow(lean(_keys(BASE_DEPTH, orders)), keyed)))
     parts = [current.filter(F.col("members") <= FULL)]
     depth = BASE_DEPTH
     over = crowded = current.filter(F.col("members") > FULL)
     while depth < LAST_DEPTH and not over.isEmpty():
         depth += STEP
         deeper = over.select("node", "tree").join(nodes.select("node", "signature"), "node").select("node", "signature", "tree")
-        current = written(_sized(deeper.mapInArrow(lean(_keys(depth)), keyed)))
+        current = written(_sized(deeper.mapInArrow(lean(_keys(depth, orders)), keyed)))
         parts.append(current.filter(F.col("members") <= FULL))
         over = current.filter(F.col("members") > FULL)
     if not over.isEmpty():
@@ -164,71 +185,83 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likely(threshold: int) -> Callable:
     """Pairs of small regions whose signatures and sizes allow a link; rows are (key, node, n_shingles, signature)."""
-    for run in _runs(batches):
-        run = run.combine_chunks()
-        keys, sizes = run.column(0).to_numpy(), run.column(2).to_numpy()
-        nodes = run.column(1).to_pylist()
-        signature = _matrix(run.column(3).combine_chunks(), np.uint32, HASHES)
-        left, right = [], []
-        for d in range(1, SMALL):
-            first = np.flatnonzero(keys[d:] == keys[:-d]) if d < len(keys) else np.empty(0, int)
-            if not len(first):
-                break
-            small, large = np.minimum(sizes[first], sizes[first + d]), np.maximum(sizes[first], sizes[first + d])
-            first = first[small * 100 >= large * THRESHOLD]
-            equal = (signature[first] == signature[first + d]).sum(1)
-            for i in first[equal >= LIKELY]:
-                a, b = nodes[i], nodes[i + d]
-                left.append(min(a, b))
-                right.append(max(a, b))
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
-
-
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+
+    likely = least_equal(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            rows = rows.combine_chunks()
+            keys, sizes = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+            nodes = rows.column(1).to_pylist()
+            signature = _matrix(rows.column(3).combine_chunks(), np.uint32, HASHES)
+            left, right = [], []
+            for d in range(1, SMALL):
+                first = np.flatnonzero(keys[d:] == keys[:-d]) if d < len(keys) else np.empty(0, int)
+                if not len(first):
+                    break
+                small, large = np.minimum(sizes[first], sizes[first + d]), np.maximum(sizes[first], sizes[first + d])
+                first = first[small * 100 >= large * threshold]
+                equal = (signature[first] == signature[first + d]).sum(1)
+                for i in first[equal >= likely]:
+                    a, b = nodes[i], nodes[i + d]
+                    left.append(min(a, b))
+                    right.append(max(a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     """Whether two sets (sorted, unique) reach the threshold."""
-    if min(len(a), len(b)) * 100 < max(len(a), len(b)) * THRESHOLD:
+    if min(len(a), len(b)) * 100 < max(len(a), len(b)) * threshold:
         return False
     if len(a) > len(b):
         a, b = b, a
     at = np.searchsorted(b, a)
     common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return 100 * common >= THRESHOLD * (len(a) + len(b) - common)
+    return 100 * common >= threshold * (len(a) + len(b) - common)
 
 
-def _compare_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_regions(threshold: int) -> Callable:
     """Links of fuller regions: each is compared in one place and gives a spanning forest of its links, not all of them.
 
     Rows are (key, node, signature, shingles, label, side). Nodes with a common label are joined already; nodes of
     side 0 are compared with those of side 1, or all with each other.
     """
-    for run in _runs(batches):
-        run = run.combine_chunks()
-        keys = run.column(0).to_numpy()
-        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        left, right = [], []
-        for start, end in zip(edges, edges[1:]):
-            part = run.slice(start, end - start)
-            nodes, sets = part.column(1).to_pylist(), [np.frombuffer(s, np.uint64) for s in part.column(3).to_pylist()]
-            signature = _matrix(part.column(2).combine_chunks(), np.uint32, HASHES)
-            codes: dict[bytes, int] = {}
-            label = np.array([codes.setdefault(x, len(codes)) for x in part.column(4).to_pylist()])
-            side = part.column(5).to_numpy()
-            if side[0] == ALL:
-                work = ((i, np.arange(i + 1, len(nodes))) for i in range(len(nodes)))
-            else:
-                second = np.flatnonzero(side == 1)
-                work = ((i, second) for i in np.flatnonzero(side == 0).tolist())
-            for i, others in work:
-                others = others[label[others] != label[i]]
-                equal = (signature[others] == signature[i]).sum(1)
-                for j in others[equal >= LIKELY].tolist():
-                    if label[i] != label[j] and linked(sets[i], sets[j]):
-                        label[label == label[j]] = label[i]
-                        left.append(min(nodes[i], nodes[j]))
-                        right.append(max(nodes[i], nodes[j]))
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    likely = least_equal(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            rows = rows.combine_chunks()
+            keys = rows.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            left, right = [], []
+            for start, end in zip(edges, edges[1:]):
+                part = rows.slice(start, end - start)
+                nodes, sets = part.column(1).to_pylist(), [np.frombuffer(s, np.uint64) for s in part.column(3).to_pylist()]
+                signature = _matrix(part.column(2).combine_chunks(), np.uint32, HASHES)
+                codes: dict[bytes, int] = {}
+                label = np.array([codes.setdefault(x, len(codes)) for x in part.column(4).to_pylist()])
+                side = part.column(5).to_numpy()
+                if side[0] == ALL:
+                    work = ((i, np.arange(i + 1, len(nodes))) for i in range(len(nodes)))
+                else:
+                    second = np.flatnonzero(side == 1)
+                    work = ((i, second) for i in np.flatnonzero(side == 0).tolist())
+                for i, others in work:
+                    others = others[label[others] != label[i]]
+                    equal = (signature[others] == signature[i]).sum(1)
+                    for j in others[equal >= likely].tolist():
+                        if label[i] != label[j] and linked(sets[i], sets[j], threshold):
+                            label[label == label[j]] = label[i]
+                            left.append(min(nodes[i], nodes[j]))
+                            right.append(max(nodes[i], nodes[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    return run
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,11 +274,14 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], pa.binary()) for k in (0, 1)], ["node", "shingles"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-        yes = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sets], pa.bool_())
-        yield batch.select(["a", "b"]).filter(yes)
+def _confirm(threshold: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yes = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in sets], pa.bool_())
+            yield batch.select(["a", "b"]).filter(yes)
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -296,10 +332,10 @@ def across(crowded: DataFrame, found: DataFrame) -> DataFrame:
     return placed.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "label", side.alias("side"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and kept, per row of ``docs``.
 
-    Documents are linked if 100 * common shingles >= THRESHOLD * shingles of either. Words are runs of bytes other
+    Documents are linked if 100 * common shingles >= threshold * shingles of either. Words are runs of bytes other
     than 0x20 and 0x09-0x0D with A-Z lower-cased; fewer than five words count as one shingle. Null, empty or blank
     texts have no shingles, are linked with nothing and are kept. Repeated rows are linked with each other and are
     all kept or all dropped, as they share their doc_id. A null doc_id never names a component: kept is true for it
@@ -308,7 +344,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     described = written(describe(docs))
     nodes = written(described.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")))
-    members, crowded = regions(nodes)
+    members, crowded = regions(nodes, threshold)
     members = written(members)
     wanted = members.select("node").unionByName(crowded.select("node")).distinct()
     # One text per node that is in a region; the smallest id is enough to find it.
@@ -319,16 +355,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     pair = "a binary, b binary"
     sparse = members.filter(F.col("members") <= SMALL).join(nodes, "node").select("key", "node", "n_shingles", "signature")
-    pairs = sparse.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_likely), pair).distinct()
+    pairs = sparse.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_likely(threshold)), pair).distinct()
     confirmed = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        .select("a", "b", "x", "y").mapInArrow(lean(_confirm), pair)
+        .select("a", "b", "x", "y").mapInArrow(lean(_confirm(threshold)), pair)
     )
 
     def compared(groups: DataFrame) -> DataFrame:
         rows = groups.join(nodes, "node").join(sets, "node").select("key", "node", "signature", "shingles", "label", "side")
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_compare_regions), pair)
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_compare_regions(threshold)), pair)
 
     dense = members.filter(F.col("members") > SMALL).select("key", "node", F.col("node").alias("label"), F.lit(ALL).alias("side"))
     links = confirmed.unionByName(compared(dense))
@@ -347,13 +383,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.coalesce("found", "doc_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest doc_id; all columns.
 
     Rows without shingles are no duplicates of anything and stay. Of rows that repeat doc_id and text, one stays;
     rows that share a doc_id but not the text are one document in two versions and stay or go together.
     """
-    judged = written(near_duplicates(docs))
+    judged = written(near_duplicates(docs, threshold))
     dropped = judged.filter(~F.col("kept")).select("doc_id").distinct()
     again = judged.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     rest = docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["doc_id"]), "left_anti")

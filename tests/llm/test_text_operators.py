@@ -127,6 +127,24 @@ def test_near_duplicates_that_leave_a_crowded_region(spark, monkeypatch):
     assert norm(found.select("doc_id", "component_id").collect()) == norm(expected)
 
 
+def test_near_duplicates_by_another_threshold(spark):
+    """Pairs from 0.80 to below 0.85: linked by the pipeline's stage, not by op1's contract."""
+    import corpus_pipeline
+
+    draw, rows = random.Random(13), []
+    for d in range(0, 60, 2):
+        base = prose(draw, 400, 100000).split()
+        copy = list(base)
+        for k in range(8):
+            copy[10 + 45 * k] = "other"
+        rows += [(d, " ".join(base)), (d + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == list(range(0, 60, 2))
+    assert near_dedup.near_duplicates(docs).filter("kept").count() == 60
+    assert len(near_dedup.tree_orders(85)) == 20 and len(near_dedup.tree_orders(80)) == 28
+    assert near_dedup.least_equal(80) < near_dedup.least_equal(85) <= 42 and near_dedup.least_equal(100) == 64
+
+
 def test_blocks_cover_all_pairs_that_are_apart(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "FULL", 16)
     key = lambda i: i.to_bytes(16, "big")
