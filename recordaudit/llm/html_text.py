@@ -30,8 +30,9 @@ SAMPLE_PAGES, LAYOUTS, SAMPLE_CHARS = 200, 4, 100_000
 SEED_PAGES = 64
 TREES, DEPTH = 24, 5
 
-#: Quoted values are matched up to a bound, so that an unclosed quote costs no more than that.
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:(?:"[^"]{0,4000}"|'[^']{0,4000}')[^>"']*)*)>"""
+#: A quote opens a value only after "=" and the value has any length; nothing is matched twice, so a tag costs one scan.
+#: Where a value is never closed, the tag ends at its first ">".
+_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))*+)>"""
                     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "head", "select", "option", "object", "canvas"}
 _RAW_TEXT = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe")}

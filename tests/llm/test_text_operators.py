@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -357,6 +358,19 @@ def test_decoding_never_contradicts_itself():
                     assert not content[up]
 
 
+def test_quoted_values_of_any_length():
+    for quote, inner in (('"', "'"), ("'", '"')):
+        for size in (10, 5000, 300_000):
+            value = (f"<p class={inner}nav{inner}>junk</p> a > b " * (size // 30 + 1))
+            page = html_text.Page(f"<div data-x={quote}{value}{quote} id=main><p>kept</p></div><p title = {quote}{quote}>end</p>")
+            assert page.tags == ["#root", "div", "p", "p"] and page.texts == ["kept", "end"], (quote, size)
+    page = html_text.Page("<p title=don't>one</p><a href=\"x>two</a> it's <b>three</b>")
+    assert page.tags == ["#root", "p", "a", "b"] and [t.strip() for t in page.texts] == ["one", "two", "it's", "three"]
+    start = time.process_time()
+    html_text.Page('<a href="x>y</a> ' + "<p class=a title='b'>z</p> " * 20_000 + "<i id='q>w")
+    assert time.process_time() - start < 5
+
+
 # ---- 8: repeated substrings ----------------------------------------------------------------------------------------
 
 def contract_bytes(rows):
