@@ -32,7 +32,7 @@ SMALL = 32
 FULL = 1024
 #: Bounds on the chance that a pair at the threshold shares no region of independent trees, and that its signatures
 #: have fewer equal values than are asked for.
-FOREST_MISS, LIKELY_MISS = 4e-7, 1 / 33_000
+FOREST_MISS, LIKELY_MISS = 4e-7, 1 / 300_000
 #: The side of nodes that are compared with all others of their group.
 ALL = 2
 

@@ -1,6 +1,7 @@
 """Text operators against plain Python versions: nulls, ties, repeats, long and empty texts, clashing columns, empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -146,6 +147,12 @@ def test_near_duplicates_by_another_threshold(spark):
     assert near_dedup.least_equal(80) < near_dedup.least_equal(85) <= 42 and near_dedup.least_equal(100) == 64
 
 
+def test_signature_filter_keeps_its_odds():
+    for percent in (80, 85, 95):
+        p, least = percent / 100, near_dedup.least_equal(percent)
+        assert sum(math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(least)) <= 1 / 300_000
+
+
 def test_blocks_cover_all_pairs_that_are_apart(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "FULL", 16)
     key = lambda i: i.to_bytes(16, "big")
