@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordaudit.llm import chat, decontaminate, html_text, line_dedup, mixing, near_dedup, pii, quality, secrets, suffix_dedup
+from recordaudit.llm import (chat, decontaminate, hard_negatives, html_text, learned_partitions, line_dedup, mixing, near_dedup, periodic_runs,
+                             pii, quality, secrets, suffix_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -296,3 +297,65 @@ def repeated_substrings(spark, folder):
     return suffix_dedup.drop_repeats(table(spark, folder, "documents")).select(
         "doc_id", "n_bytes", F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"]), F.lit(0).cast("long")).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+NEGATIVES_SQL = """
+with v as (
+  select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from {embeddings}
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+u as (select * from v where len(q) = (select len(q) from v group by 1 order by count(*) desc, 1 desc limit 1)),
+s as (
+  select a.rid, a.vec_id as anchor_id, a.label as la, b.rid as other, b.vec_id, b.label, list_inner_product(a.q, b.q)::bigint as score
+  from u a join u b on a.vec_id % 100 = 0 and a.rid <> b.rid),
+p as (
+  select * from (select rid, anchor_id, la, vec_id as positive_id, score as positive_score,
+                        row_number() over (partition by rid order by score desc, vec_id) as place
+                 from s where label = la and vec_id <> anchor_id) where place <= 5),
+n as (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+         row_number() over (partition by p.rid, p.place order by s.score desc, s.vec_id) as rank
+  from p join s on s.rid = p.rid and s.label <> p.la and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL.replace("{embeddings}", "embeddings"))
+def mined_negatives(spark, folder):
+    rows = table(spark, folder, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): one document in ten, by the checksum of its id, goes round in circles from one of its words on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    planted = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    spots = planted.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn(
+        "p", F.when(n > 0, (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int")))
+    # Word i is word a + (i - a) % p from word a on; numbers start at 0.
+    around = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", F.when(
+        i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p")))))
+    return spots.select("doc_id", F.when(n > 0, F.array_join(around, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def repeated_periods(spark, folder):
+    found = periodic_runs.collapse_runs(with_planted_runs(table(spark, folder, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("least"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    length, period = F.col("top.length"), -F.col("top.least")
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.before")).alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"))
+
+
+@query("op13_nearest_neighbours")
+def nearest_neighbours(spark, folder):
+    found = learned_partitions.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("neighbour_id").alias("vec_id"), "score")
