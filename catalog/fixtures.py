@@ -257,6 +257,11 @@ def with_views(sql: str) -> str:
     return f"with {RECORD_SQL}, {POOL_SQL}{joiner}{body[5:] if body.startswith('with ') else body}"
 
 
+def with_recursive_views(sql: str) -> str:
+    """``with_views`` for a statement whose table expressions may refer to themselves."""
+    return "with recursive" + with_views(sql).removeprefix("with")
+
+
 def micros(df: DataFrame) -> DataFrame:
     """Datetimes as epoch microseconds, so that results compare as plain numbers."""
     return df.select(*[

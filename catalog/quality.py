@@ -226,6 +226,35 @@ def kde_density(spark, folder) -> DataFrame:
 
 # ---------------------------------------------------------------- components
 
+def eigen_sql(matrix: str, n: int, sweeps: int = 9) -> str:
+    """Table expressions up to eigenvalues(k, value) and loadings(k, i, part) of the symmetric ``matrix`` (i, j, r), by Jacobi's rotations.
+
+    A step turns one pair of axes (p, q) so that their joint element becomes 0; ``a`` and ``v`` are the matrix and the product of the
+    turns as lists of rows. Needs ``with recursive``.
+    """
+    pairs = [(p, q) for p in range(n) for q in range(p + 1, n)]
+    at = lambda m, i, j: f"{m}[({i}) * {n} + ({j}) + 1]"
+    turned = lambda m: (f"list_transform(range({n * n}), lambda x: case x % {n} when p then c * {at(m, f'x // {n}', 'p')} - s * {at(m, f'x // {n}', 'q')} "
+                        f"when q then s * {at(m, f'x // {n}', 'p')} + c * {at(m, f'x // {n}', 'q')} else {m}[x + 1] end)")
+    over = (f"list_transform(range({n * n}), lambda x: case x // {n} when p then c * {at('b', 'p', f'x % {n}')} - s * {at('b', 'q', f'x % {n}')} "
+            f"when q then s * {at('b', 'p', f'x % {n}')} + c * {at('b', 'q', f'x % {n}')} else b[x + 1] end)")
+    return f"""axes as (select {[p for p, _ in pairs]} as ps, {[q for _, q in pairs]} as qs),
+turns as (
+  select 0 as step, (select list(r order by i, j) from {matrix}) as a,
+    list_transform(range({n * n}), lambda x: case when x // {n} = x % {n} then 1.0::double else 0.0::double end) as v
+  union all
+  select step, {over} as a, v from (
+    select step, p, q, c, s, {turned('a')} as b, {turned('v')} as v from (
+      select *, t / sqrt(t * t + 1) as s, 1 / sqrt(t * t + 1) as c from (
+        select *, case when abs(apq) < 1e-300 then 0.0::double
+          else (case when aqq >= app then 1.0::double else -1.0::double end) / (abs((aqq - app) / (2 * apq)) + sqrt(power((aqq - app) / (2 * apq), 2) + 1)) * sign(apq) end as t
+        from (select step + 1 as step, a, v, p, q, {at('a', 'p', 'q')} as apq, {at('a', 'p', 'p')} as app, {at('a', 'q', 'q')} as aqq
+          from (select step, a, v, ps[step % {len(pairs)} + 1] as p, qs[step % {len(pairs)} + 1] as q from turns, axes where step < {sweeps * len(pairs)})))))),
+solved as materialized (select a, v from turns where step = {sweeps * len(pairs)}),
+eigenvalues as materialized (select k, {at('a', 'k', 'k')} as value from solved, (select unnest(range({n})) as k)),
+loadings as materialized (select k, i, {at('v', 'i', 'k')} as part from solved, (select unnest(range({n})) as k), (select unnest(range({n})) as i))"""
+
+
 def component_columns(real: DataFrame) -> list[str]:
     """Every numeric column of the table, by type; one that never changes has no direction."""
     return numeric_columns(real, without=[fx.SPEC.label])

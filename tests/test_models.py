@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recordaudit.operators import copula as co, forest as fo, memorization, metrics, selection as sel, trend
+from recordaudit.functions import normal
+from recordaudit.operators import copula as co, forest as fo, kernel, memorization, metrics, selection as sel, trend
 from recordaudit.plans import reports
 from recordaudit.sources import schema, tables
 from recordaudit.sources.schema import Spec
@@ -165,7 +166,9 @@ def test_copula_keeps_marginals_and_dependence(spark, fitted):
     assert len(rows) == 2000 and len({r.k for r in rows}) == 2000
     a = np.array([r.a for r in rows])
     own = np.array([r.a for r in real.collect()])
-    assert a.min() >= own.min() and a.max() <= own.max()
+    assert a.min() < own.min() or a.max() > own.max()  # a kernel reaches beyond the known values
+    held = np.array([r.a for r in co.copula_sample(spark, copula, 2000, 45, within_range=True).collect()])
+    assert held.min() >= own.min() and held.max() <= own.max()
     assert np.median(a) == pytest.approx(np.median(own), rel=0.1)
     known = [(r.a, r.b) for r in rows if r.b is not None]
     assert np.corrcoef(np.array(known).T)[0, 1] > 0.9
@@ -174,6 +177,33 @@ def test_copula_keeps_marginals_and_dependence(spark, fitted):
     assert share == pytest.approx(real.where("c = 'x'").count() / 800, abs=0.05)
 
 
+def test_kernel_marginal_equals_a_kernel_on_every_row(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    skewed = np.concatenate([rng.lognormal(0, 1.5, 700), [400.0] * 200])  # far apart, with a hot value
+    frame = spark.createDataFrame([(float(v), 7.0, None if i % 3 else float(i)) for i, v in enumerate(skewed)], "a double, same double, some double").repartition(5)
+    h = skewed.std(ddof=1) * len(skewed) ** -0.2
+    at = np.linspace(skewed.min() - 3 * h, skewed.max() + 3 * h, 301)
+    exact = normal.normal_cdf((at[:, None] - skewed) / h).mean(axis=1)
+    found = kernel.kernel_marginals(frame, ["a", "same", "some"])
+    assert found["a"].bandwidth == pytest.approx(h) and np.abs(found["a"].cdf(at) - exact).max() < 2e-3
+    shares = np.linspace(0.02, 0.98, 49)
+    assert np.abs(found["a"].cdf(found["a"].inverse(shares)) - shares).max() < 1e-9
+    assert found["same"].inverse(shares).tolist() == [7.0] * 49
+    assert found["some"].low == 0 and found["some"].high == 897
+    monkeypatch.setattr(kernel, "MAX_BINS", 3)  # bins merged in pairs
+    coarse = kernel.kernel_marginals(frame, ["a"])["a"]
+    assert coarse.step > found["a"].step and np.abs(coarse.cdf(at) - exact).max() < 0.2
+    assert kernel.kernel_marginals(frame.limit(0), ["a"]) == {} and kernel.kernel_marginals(frame, []) == {}
+
+
+def test_large_dictionaries_are_joined(spark, fitted, monkeypatch):
+    real, copula = fitted
+    small = sorted(tuple(r) for r in co.copula_sample(spark, copula, 200, 45).collect())
+    monkeypatch.setattr(co, "SHIPPED_BYTES", 0)
+    assert sorted(tuple(r) for r in co.copula_sample(spark, copula, 200, 45).collect()) == small
+    assert np.allclose(co.copula_fit(real, SPEC, 45).correlation, copula.correlation, atol=1e-12)
+
+
 def test_copula_prefix_and_repeatability(spark, fitted):
     _, copula = fitted
     large = {tuple(r) for r in co.copula_sample(spark, copula, 300, 45).collect()}
