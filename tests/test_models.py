@@ -8,7 +8,7 @@ from recordaudit.plans import reports
 from recordaudit.sources import schema, tables
 from recordaudit.sources.schema import Spec
 
-SMALL = fo.Forest(trees=10, depth=5, seed=45, parallel_fits=2)
+SMALL = fo.Forest(trees=10, seed=45, batch=4)
 
 
 def scored(spark):
