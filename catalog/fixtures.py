@@ -14,7 +14,8 @@ from recordaudit.sources.schema import Relations, Spec
 
 SEED = 45
 KEY = "row_key"
-MODELS = ("Default CTGAN", "Default TVAE", "GC", "Optimal CTGAN", "Optimal TVAE")
+MODELS = ("Default CTGAN", "Default CopulaGAN", "Default TVAE", "GC", "Optimal CTGAN", "Optimal CopulaGAN", "Optimal TVAE")
+MODEL_SQL = "case (l_suppkey + l_linenumber) % 7 " + " ".join(f"when {i} then '{m}'" for i, m in enumerate(MODELS)) + " end"
 GENERATED = ("carrier", "tail", "origin", "destination", "sched_dep", "act_dep", "dep_delta", "taxi_out",
              "taxi_in", "arr_delta", "sched_elapsed", "act_elapsed", "air_time", "diverted")
 ENRICHED = (
@@ -79,9 +80,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
                 when l_returnflag = 'R' and l_tax > 0.075 then 'D'
                 when l_returnflag = 'N' and o_orderstatus = 'P' and l_tax < 0.005 then 'C'
                 else 'O' end as status""",
-        """case o_orderpriority when '1-URGENT' then 'GC' when '2-HIGH' then 'Default TVAE'
-                when '3-MEDIUM' then 'Optimal TVAE' when '4-NOT SPECIFIED' then 'Default CTGAN'
-                else 'Optimal CTGAN' end as model""",
+        f"{MODEL_SQL} as model",
         "p_brand as carrier", "cast(l_partkey as string) as tail",
         "cast(l_suppkey as string) as origin", "cast(c_nationkey as string) as destination",
         "s_name as origin_icao", "so_name as origin_city", "substr(so_region, 1, 2) as origin_state_code",
@@ -115,9 +114,7 @@ places as (
     case when l_returnflag = 'A' and l_tax > 0.075 then 'S'
          when l_returnflag = 'R' and l_tax > 0.075 then 'D'
          when l_returnflag = 'N' and o_orderstatus = 'P' and l_tax < 0.005 then 'C' else 'O' end as status,
-    case o_orderpriority when '1-URGENT' then 'GC' when '2-HIGH' then 'Default TVAE'
-         when '3-MEDIUM' then 'Optimal TVAE' when '4-NOT SPECIFIED' then 'Default CTGAN'
-         else 'Optimal CTGAN' end as model,
+    {MODEL_SQL} as model,
     p_brand as carrier, cast(l_partkey as varchar) as tail, cast(l_suppkey as varchar) as origin,
     cast(c_nationkey as varchar) as destination,
     s_name as origin_icao, so.n_name as origin_city, substr(so.r_name, 1, 2) as origin_state_code,

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from catalog import fixtures as fx
 from catalog.basics import REL, scratch
 from catalog.learning import LEAKAGE_FREE, uniform_sql
-from catalog.quality import QUALITY, eigen_sql, number_sql, pools
+from catalog.quality import eigen_sql, number_sql, pools, quality_sql
 from catalog.registry import query
 from recordaudit.functions import normal, scalars as sc
 from recordaudit.functions.scalars import hash_uniform
-from recordaudit.operators import balance, copula as co, encode, forest as fo, kernel, metrics, realism, selection as sel, similarity as sim, trend
-from recordaudit.plans import prepare, reports, selection_round
+from recordaudit.operators import balance, copula as co, encode, forest as fo, kernel, metrics, realism, selection as sel, sets, similarity as sim, trend
+from recordaudit.plans import prepare, reports, selection_round, sweep
 from recordaudit.sources import tables
 
 SQL = fx.with_views
@@ -117,8 +117,14 @@ GENERATED_FEATURES = [c for c in fx.GENERATED if c != "diverted"]
 UTILITY_FEATURES = [c for c in LEAKAGE_FREE if c != "diverted"]
 JUDGE = fo.Forest(seed=fx.SEED)
 EVERY_MODEL = [*fx.MODELS, "Never sampled"]
-#: Augmentation sizes of the sweep.
-SWEEP_SIZES = tuple(range(300, 8100, 300))
+#: Augmentation sizes of the sweep, as published, and the seven of the other evaluations.
+SWEEP_SIZES = (300, 500, 1000, 2000, 5000, 10000, 15000, 20000, 25000, 30000, 35000, 40000, 45000, 50000, 60000, 70000, 80000, 90000,
+               100000, 110000, 120000, 130000, 140000, 160000, 180000, 200000)
+REPORT_SIZES = (300, 500, 1000, 2000, 5000, 10000, 20000)
+#: The same proportions as shares of a candidate set, for scores of the given rows alone.
+SIZE_SHARES = tuple(s / REPORT_SIZES[-1] for s in REPORT_SIZES)
+#: 182 fits: forests on fewer rows than in the other queries; larger sizes weigh more.
+SWEEP_JUDGE = fo.Forest(seed=fx.SEED, max_fit_rows=2_000, max_added_rows=2_000)
 
 
 def without_nulls(real, candidates, columns):
@@ -246,17 +252,23 @@ def sort_results(spark, folder) -> DataFrame:
     return reports.ordered_results(results.drop("file_no"), appearance(results), "size_before")
 
 
-@query("k12_augmentation_sweep_table", SQL(SORTED_SQL))
-def augmentation_sweep_table(spark, folder) -> DataFrame:
-    """Result files stacked, equal rows once, in model and size order."""
-    return sort_results(spark, folder)
+def swept(spark, folder, sizes) -> DataFrame:
+    """Forests trained on real rows plus each set's first rows, cleaned, for all sizes; sets that are too short are continued."""
+    full = fx.records(spark, folder)
+    routes, places = fx.dimensions(full)
+    filled = sweep.filled_sets(fx.candidates_generated(full), fx.GEN_SPEC, max(sizes), fx.SEED)
+    enriched = fx.written(fx.en.enrich_and_clean(filled, routes, places, REL, [KEY, "model", sweep.PLACE]))
+    real, candidates = encode.prepare_for_prediction(
+        fx.written(fx.historical(full)), enriched, fx.ENCODED, fx.LEAKAGE, without=[KEY, "model", sweep.PLACE])
+    real, candidates = without_nulls(fx.written(real), fx.written(candidates), ["dep_delta"])
+    scores = fo.utility(real, candidates, KEY, "model", "diverted", UTILITY_FEATURES, SWEEP_JUDGE, sizes=sizes, place=sweep.PLACE)
+    return scores.withColumnsRenamed({"size": "rows_generated", "rows_added": "rows_valid"}).withColumn(
+        "realism", sc.round_pct(F.col("rows_valid"), F.col("rows_generated")))
 
 
 @query("k12_augmentation_sweep")
 def augmentation_sweep(spark, folder) -> DataFrame:
-    """Forests trained on real rows plus the first rows of every model, for all sizes."""
-    return fx.rounded(fo.utility(*utility_tables(spark, folder), KEY, "model", "diverted", UTILITY_FEATURES,
-                                 JUDGE, sizes=SWEEP_SIZES))
+    return fx.rounded(swept(spark, folder, SWEEP_SIZES))
 
 
 BASELINE_SQL = """(select max(pr_auc) from results where model = 'TRTR') as pr_auc_trtr,
@@ -657,37 +669,57 @@ DISPLAY_SQL = """case when model like 'Default %' then '$' || replace(model, 'De
   when model in ('GC', 'real') then '$' || model || '$' else model end as display, model like 'Optimal%' as is_optimised"""
 
 
-@query("n1_realism_report", SQL(f"""
-select model, count(*) as rows_generated, count(distance) as rows_valid,
-  round_even(count(distance) / count(*) * 100, 1) as realism, {DISPLAY_SQL} from enriched_all where model <> 'real' group by model"""))
+SIZED_SQL = f"""placed as (
+  select row_key, model, row_number() over (partition by model order by {uniform_sql('row_key')}, row_key) - 1 as place,
+    count(*) over (partition by model) as among from {{cand}}),
+sized as (
+  select distinct row_key, model, cast(ceil(share * among) as bigint) as size
+  from (select *, unnest([{', '.join(f'{s}::double' for s in SIZE_SHARES)}]) as share from placed) where place < ceil(share * among))"""
+
+
+def sized(candidates: DataFrame) -> DataFrame:
+    return sets.with_sizes(candidates, "model", KEY, fx.SEED, SIZE_SHARES)
+
+
+@query("n1_realism_report", SQL(f"""with gen as (select * from enriched_all where model <> 'real'), {SIZED_SQL.format(cand='gen')}
+select g.model, size, count(*) as rows_generated, count(distance) as rows_valid,
+  round_even(count(distance) / count(*) * 100, 1) as realism, {DISPLAY_SQL.replace('model', 'g.model')}
+from gen g join sized s on s.row_key = g.row_key and s.model = g.model group by g.model, size"""))
 def realism_report(spark, folder) -> DataFrame:
+    """Realism of every set at seven sizes."""
     full = fx.records(spark, folder)
     routes = fx.written(fx.en.route_dimension(fx.route_history(full), REL))
-    return reports.named(realism.realism_pct(fx.candidates_generated(full), routes, REL))
+    return reports.named(realism.realism_pct(sized(fx.candidates_generated(full)), routes, REL, ["model", "size"]))
 
 
-@query("n2_similarity_report", SQL(QUALITY + f"""
-select model, round(marginal, 6) as marginal, round(bivariate, 6) as bivariate, round(overall, 6) as overall, {DISPLAY_SQL} from overall"""))
+@query("n2_similarity_report", SQL(f"""with {SIZED_SQL.format(cand='cand')},
+sets as materialized (select cand.* replace (cand.model || '/' || size as model) from cand join sized using (row_key, model)),
+names as (select distinct model || '/' || size as set_name, model as own_model, size from sized), """ + quality_sql(fx.SPEC, "real", "sets") + f"""
+select own_model as model, size, round(marginal, 6) as marginal, round(bivariate, 6) as bivariate, round(overall, 6) as overall,
+  {DISPLAY_SQL.replace('model', 'own_model')} from overall join names on set_name = model"""))
 def similarity_report(spark, folder) -> DataFrame:
-    return fx.rounded(reports.named(sim.overall_similarity(*pools(spark, folder), fx.SPEC)))
+    """Similarity of every set at seven sizes."""
+    real, candidates = pools(spark, folder)
+    return fx.rounded(reports.named(sets.per_set(sim.overall_similarity, real, fx.written(sized(candidates)), fx.SPEC, ["model", "size"])))
 
 
 @query("n3_fidelity_report")
 def fidelity_report(spark, folder) -> DataFrame:
-    """Cross-validated scores with display names, and the holdout's report by class, of every model."""
+    """Cross-validated scores with display names, and the holdout's report by class, of every set at seven sizes."""
     real, candidates = fidelity_tables(spark, folder)
-    scores = fo.fidelity_cv(real, candidates, KEY, "model", GENERATED_FEATURES, JUDGE)
-    holdout = fo.fidelity_holdout(real, candidates, KEY, "model", GENERATED_FEATURES, JUDGE)
-    report = metrics.classification_report(fx.written(metrics.confusion_counts(holdout, ["model"])), ["model"])
+    by = ["model", "size"]
+    candidates = fx.written(sized(candidates))
+    scores = fo.fidelity_cv(real, candidates, KEY, by, GENERATED_FEATURES, JUDGE)
+    holdout = fo.fidelity_holdout(real, candidates, KEY, by, GENERATED_FEATURES, JUDGE)
+    report = metrics.classification_report(fx.written(metrics.confusion_counts(holdout, by)), by)
     report = report.withColumnsRenamed({c: f"holdout_{c}" for c in ("precision", "recall", "f1", "support")})
-    return fx.rounded(reports.named(scores.join(report, "model")))
+    return fx.rounded(reports.named(scores.join(report, by)))
 
 
 @query("n4_utility_report")
 def utility_report(spark, folder) -> DataFrame:
-    results = fo.utility(*utility_tables(spark, folder), KEY, "model", "diverted", UTILITY_FEATURES,
-                         JUDGE)
-    return fx.rounded(reports.utility_report(results.join(realism_shares(spark, folder), "model", "left")))
+    """Every set at seven sizes next to the baseline, with rows before and after cleaning."""
+    return fx.rounded(reports.utility_report(swept(spark, folder, REPORT_SIZES)))
 
 
 @query("n5_class_balance_report", SQL("""
