@@ -64,11 +64,10 @@ def scan_result_dir(spark, folder) -> DataFrame:
     per_size = fx.records(spark, folder).where("status = 'S'").groupBy(
         "model", F.col("l_linenumber").cast("bigint").alias("size")).agg(
         F.count("*").alias("n"), F.round(F.avg("air_time"), 6).alias("mean_air_time"))
-    paths = []
+    results = scratch(spark, "results")
     for odd in (0, 1):
-        paths.append(scratch(spark, f"results-{odd}"))
-        tables.sink_table(per_size.where(F.col("size") % 2 == odd), paths[-1], None)
-    return tables.scan_result_dir(spark, paths).drop("file_no")
+        tables.sink_table(per_size.where(F.col("size") % 2 == odd), f"{results}/part-{odd}", None)
+    return tables.scan_result_dir(spark, results).drop("file_no")
 
 
 SDTYPES = {**{c: "categorical" for c in fx.SPEC.categorical}, **{c: "numerical" for c in fx.SPEC.numeric},

@@ -198,8 +198,8 @@ results as (
     select round(avg(air_time) / 527, 6) as pr_auc, round(avg(taxi_out) / 21, 6) as normalised_mcc from real), (values (0), (1), (2)) f(file_no))"""
 
 
-def result_files(spark, folder) -> list[str]:
-    """Three result files of measurements per model and size; each repeats the baseline row."""
+def result_files(spark, folder) -> str:
+    """A folder of three results, measurements per model and size; each repeats the baseline row."""
     real, candidates = pools(spark, folder)
     marks = [F.round(F.avg("air_time") / 527, 6).alias("pr_auc"), F.round(F.avg("taxi_out") / 21, 6).alias("normalised_mcc")]
     per_size = fx.written(candidates.groupBy(
@@ -207,12 +207,11 @@ def result_files(spark, folder) -> list[str]:
         F.count("*").alias("size_after"), *marks))
     base = real.agg(*marks).select(F.lit("TRTR").alias("model"), F.lit(None).cast("bigint").alias("size_before"),
                                    F.lit(None).cast("bigint").alias("size_after"), "pr_auc", "normalised_mcc")
-    paths = []
+    results = scratch(spark, "sweep")
     for number in range(3):
-        paths.append(scratch(spark, f"sweep-{number}"))
         own = per_size.where(F.expr("(size_before div 300) % 3") == number)
-        tables.sink_table(base.unionByName(own), paths[-1], None)
-    return paths
+        tables.sink_table(base.unionByName(own), f"{results}/sweep-{number}", None)
+    return results
 
 
 def sweep_results(spark, folder) -> DataFrame:
@@ -455,10 +454,12 @@ def running_best(spark, folder) -> DataFrame:
 
 
 @query("f4_rank_first", TRIALS_SQL + """
-select study, epochs, first_trial from (select study, epochs, min(trial) as first_trial from done group by study, epochs)""")
+select study, epochs, trial as first_trial, value as first_value from (
+  select *, row_number() over (partition by study, epochs order by value desc, trial) as rn from done) where rn = 1""")
 def rank_first(spark, folder) -> DataFrame:
-    """The first trial that tried each number of epochs."""
-    return done_trials(spark, folder).groupBy("study", "epochs").agg(F.min("trial").alias("first_trial"))
+    """The first row of each number of epochs when trials are sorted by falling value."""
+    first = sel.rank_first(done_trials(spark, folder), ["study", "epochs"], [F.desc("value"), F.asc("trial")])
+    return first.select("study", "epochs", F.col("trial").alias("first_trial"), F.col("value").alias("first_value"))
 
 
 @query("l4_candidate_eval")
@@ -742,7 +743,7 @@ def class_balance_report(spark, folder) -> DataFrame:
 
 PANELS = [(x, y) for x in ("size_before", "size_after") for y in ("pr_auc", "normalised_mcc")]
 PANEL_SQL = " union all ".join(f"""
-select model, '{x}' as axis, '{y}' as metric, x as size, round(y, 6) as value, round(fitted, 6) as trend,
+select model, '{x}' as axis, '{y}' as metric, x as size, round(y, 6) as value, round(fitted + 1e-7::double, 4) as trend,
   (select round(max({y}), 6) from results where model = 'TRTR') as trtr,
   (select round(min({y}) - 0.05::double * (max({y}) - min({y})), 6) from results) as axis_low,
   (select round(max({y}) + 5.5::double * 0.05::double * (max({y}) - min({y})), 6) from results) as axis_high,
@@ -753,7 +754,7 @@ select model, '{x}' as axis, '{y}' as metric, x as size, round(y, 6) as value, r
 @query("n6_augmentation_report", SQL(RESULTS_SQL + "".join(lowess_sql(f"_{x}_{y}", x, y) for x, y in PANELS) + PANEL_SQL))
 def augmentation_report(spark, folder) -> DataFrame:
     """Four panels (size before and after cleaning, both metrics): all sizes of all but the excluded model with their
-    trend, next to the baseline, with the limits of the axis and the rows that would balance the classes."""
+    trend (four digits, moved off the ties, as sums differ in their last bits from run to run), next to the baseline, with the limits of the axis and the rows that would balance the classes."""
     results = fx.written(sweep_results(spark, folder).drop("file_no").distinct())
     base = results.where("model = 'TRTR'").select("pr_auc", "normalised_mcc").first()
     balanced = class_balance_point(spark, folder).first()[0]
@@ -761,7 +762,7 @@ def augmentation_report(spark, folder) -> DataFrame:
     for x, y in PANELS:
         limits = trend.axis_extent(others, y, F.lit(base[y])).first()
         panel = trend.lowess_trend(others, "model", x, y).where(~F.col("model").isin("GC")).select(
-            "model", F.lit(x).alias("axis"), F.lit(y).alias("metric"), F.col(x).alias("size"), F.col(y).alias("value"), "trend",
+            "model", F.lit(x).alias("axis"), F.lit(y).alias("metric"), F.col(x).alias("size"), F.col(y).alias("value"), F.round(F.col("trend") + 1e-7, 4).alias("trend"),
             F.lit(base[y]).alias("trtr"), F.lit(limits.low - limits.margin).alias("axis_low"),
             F.lit(limits.high + 5.5 * limits.margin).alias("axis_high"))
         panels = panel if panels is None else panels.unionByName(panel)

@@ -12,6 +12,7 @@ from recordaudit.operators import density, diversity, similarity as sim
 from recordaudit.operators.prep import numeric_columns
 
 SQL = fx.with_views
+RECURSIVE = fx.with_recursive_views
 SPEC, GEN = fx.SPEC, fx.GEN_SPEC
 REPORT_DIGITS = 6
 
@@ -24,19 +25,33 @@ def text_sql(c: str) -> str:
     return f"coalesce(cast({c} as varchar), '(unknown)')"
 
 
+def both_sql(real: str, cand: str) -> str:
+    return f"(select * from {real} union all by name select * from {cand})"
+
+
+def correlation_sql(spec, both: str, tag: str = "") -> str:
+    """Table expressions up to corr{tag}: correlations of all pairs of numbers, and their scores."""
+    continuous = spec.numeric + spec.datetime
+    numbers = ", ".join(f"{number_sql(c)} as {c}" for c in continuous)
+    couples = list(combinations(continuous, 2))
+    wide = ", ".join(f"corr({a}, {b}) as c{i}" for i, (a, b) in enumerate(couples))
+    each = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'r': c{i}}}" for i, (a, b) in enumerate(couples))
+    return f"""corr_wide{tag} as materialized (select model, {wide} from (select model, {numbers} from {both}) group by model),
+corr_all{tag} as (select model, p.a as column_a, p.b as column_b, p.r as r from (select model, unnest([{each}]) as p from corr_wide{tag})),
+corr{tag} as (
+  select s.model, s.column_a, s.column_b, s.r, r.r as r_real, 1 - abs(r.r - s.r) / 2 as score
+  from corr_all{tag} s join corr_all{tag} r on r.model = 'real' and r.column_a = s.column_a and r.column_b = s.column_b
+  where s.model <> 'real')"""
+
+
 def quality_sql(spec=SPEC, real: str = "real", cand: str = "cand", tag: str = "") -> str:
     """Table expressions for all column and pair scores; ``tag`` keeps two sets apart."""
     continuous = spec.numeric + spec.datetime
-    both = f"(select * from {real} union all by name select * from {cand})"
+    both = both_sql(real, cand)
     longs = " union all ".join(
         f"select model, '{c}' as column_name, {number_sql(c)} as value from {both}" for c in continuous)
     cats = " union all ".join(
         f"select model, '{c}' as column_name, {text_sql(c)} as value from {both}" for c in spec.categorical)
-    numbers = ", ".join(f"{number_sql(c)} as {c}" for c in continuous)
-    couples = list(combinations(continuous, 2))
-    wide = ", ".join(f"corr({a}, {b}) as c{i}" for i, (a, b) in enumerate(couples))
-    corr = " union all ".join(
-        f"select model, '{a}' as column_a, '{b}' as column_b, c{i} as r from corr_wide{tag}" for i, (a, b) in enumerate(couples))
     edges = ", ".join(f"min({number_sql(c)}) as {c}_min, max({number_sql(c)}) as {c}_max" for c in continuous)
     codes = [f"{text_sql(c)} as {c}" for c in spec.categorical] + [
         f"coalesce(cast(case when {number_sql(c)} < {c}_min then 0 when {number_sql(c)} >= {c}_max then 11 else "
@@ -70,12 +85,7 @@ tv{tag} as (
     1 - 0.5::double * sum(abs(coalesce(s.p, 0) - coalesce(r.p, 0))) as score
   from (select * from share{tag} where model <> 'real') s full join real_by_model{tag} r
     on s.model = r.model and s.column_name = r.column_name and s.value = r.value group by 1, 2),
-corr_wide{tag} as materialized (select model, {wide} from (select model, {numbers} from {both}) group by model),
-corr_all{tag} as ({corr}),
-corr{tag} as (
-  select s.model, s.column_a, s.column_b, s.r, r.r as r_real, 1 - abs(r.r - s.r) / 2 as score
-  from corr_all{tag} s join corr_all{tag} r on r.model = 'real' and r.column_a = s.column_a and r.column_b = s.column_b
-  where s.model <> 'real'),
+{correlation_sql(spec, both, tag)},
 edges{tag} as (select {edges} from {real}),
 coded{tag} as materialized (select model, {', '.join(codes)} from {both}, edges{tag}),
 cells{tag} as ({cells}),
@@ -116,7 +126,7 @@ def marginal_similarity(spark, folder) -> DataFrame:
     return fx.rounded(sim.marginal_similarity(*pools(spark, folder), SPEC))
 
 
-@query("i4_correlation_similarity", SQL(QUALITY + """
+@query("i4_correlation_similarity", SQL(f"with {correlation_sql(SPEC, both_sql('real', 'cand'))}" + """
 select model, column_a, column_b, round(r, 6) + 0.0 as r, round(r_real, 6) + 0.0 as r_real, round(score, 6) as score from corr"""))
 def correlation_similarity(spark, folder) -> DataFrame:
     return fx.rounded(sim.correlation_similarity(*pools(spark, folder), SPEC))
@@ -267,31 +277,64 @@ def scaled_pools(spark, folder):
     return (*diversity.scale_for_components(real.withColumn("model", F.lit("real")), candidates, columns), columns)
 
 
-@query("j1_pca_explained")
+#: Numeric columns of the enriched table in its order, without the label (``component_columns`` finds them by type).
+COMPONENT_COLUMNS = [c for c in fx.ENRICHED if c in SPEC.numeric or c in ("quarter", "day_of_week", "dep_delay_label", "arr_delay_label")]
+
+
+def components_sql() -> str:
+    """Table expressions up to scaled rows, ratio(component, ratio) and axis(component, i, part): Jacobi's rotations on the covariances."""
+    n = len(COMPONENT_COLUMNS)
+    zero = ", ".join(f"cast(coalesce({c}, 0) as double) as {c}" for c in COMPONENT_COLUMNS)
+    ends = ", ".join(f"min({c}) as {c}_min, max({c}) as {c}_max" for c in COMPONENT_COLUMNS)
+    scaled = ", ".join(f"({c} - {c}_min) / (case when {c}_max = {c}_min then 1 else {c}_max - {c}_min end) as {c}" for c in COMPONENT_COLUMNS)
+    cells = ", ".join(f"{{'i': {i}, 'j': {j}, 'r': covar_samp({a}, {b})}}" for i, a in enumerate(COMPONENT_COLUMNS) for j, b in enumerate(COMPONENT_COLUMNS))
+    means = ", ".join(f"avg({c})" for c in COMPONENT_COLUMNS)
+    return f"""zero as (select row_key, model, {zero} from clean), ends as (select {ends} from zero where model = 'real'),
+scaled as materialized (select row_key, model, {scaled} from zero, ends),
+centre as materialized (select [{means}] as m from scaled where model = 'real'),
+matrix as materialized (select cell.i, cell.j, cell.r from (select unnest([{cells}]) as cell from scaled where model = 'real')),
+{eigen_sql('matrix', n)},
+ratio as materialized (select cast(row_number() over (order by value desc) as integer) as component, k, value / sum(value) over () as ratio from eigenvalues),
+axis as materialized (select component, i, part * sign(first_value(part) over (partition by component order by abs(part) desc, i)) as part
+  from loadings join ratio using (k)),
+axes_of as materialized (select component, list(part order by i) as parts from axis group by component),
+projected as (select row_key, model, {', '.join(f"list_sum(list_transform(range({n}), lambda x: (list_value({', '.join(COMPONENT_COLUMNS)})[x + 1] - m[x + 1]) * p{k}[x + 1])) as pc{k}" for k in (1, 2))}
+  from scaled, centre, (select (select parts from axes_of where component = 1) as p1, (select parts from axes_of where component = 2) as p2))"""
+
+
+@query("j1_pca_explained", RECURSIVE(f"""with {components_sql()}
+select component, round(ratio, 6) + 0.0 as ratio, round(sum(ratio) over (order by component), 6) as cumulative from ratio"""))
 def pca_explained(spark, folder) -> DataFrame:
     real, _, columns = scaled_pools(spark, folder)
     return fx.rounded(diversity.pca_explained(real, columns))
 
 
-@query("f1_cumulative_variance")
+@query("f1_cumulative_variance", RECURSIVE(f"""with {components_sql()}
+select component, round(ratio * 100, 6) + 0.0 as ratio, round(sum(ratio * 100) over (order by component), 6) as cumulative from ratio"""))
 def cumulative_variance(spark, folder) -> DataFrame:
     real, _, columns = scaled_pools(spark, folder)
     explained = diversity.pca_explained(real, columns)
     return fx.rounded(diversity.cumulative_variance(explained.select("component", (F.col("ratio") * 100).alias("ratio"))))
 
 
-@query("j2_pca_project")
+@query("j2_pca_project", RECURSIVE(f"""with {components_sql()}
+select row_key, model, round(pc1, 6) + 0.0 as pc1, round(pc2, 6) + 0.0 as pc2,
+  round_even((select ratio from ratio where component = 1) * 100, 1) as pc1_variance_pct,
+  round_even((select ratio from ratio where component = 2) * 100, 1) as pc2_variance_pct from projected"""))
 def pca_project(spark, folder) -> DataFrame:
     real, candidates, columns = scaled_pools(spark, folder)
     real_points, points = diversity.pca_project(real, [real, candidates], columns, [fx.KEY, "model"])
     return fx.rounded(real_points.unionByName(points))
 
 
-@query("j3_diversity_by_model")
+@query("j3_diversity_by_model", RECURSIVE(f"""with {components_sql()}
+select model, count(*) as rows, round(avg(pc1), 6) + 0.0 as pc1_mean, round(stddev_pop(pc1), 6) as pc1_std,
+  round(avg(pc2), 6) + 0.0 as pc2_mean, round(stddev_pop(pc2), 6) as pc2_std from projected group by model"""))
 def diversity_by_model(spark, folder) -> DataFrame:
     """Centre and spread of every model on the first two real components."""
-    points = pca_project(spark, folder)
-    return fx.rounded(points.groupBy("model").agg(
+    real, candidates, columns = scaled_pools(spark, folder)
+    real_points, others = diversity.pca_project(real, [real, candidates], columns, [fx.KEY, "model"])
+    return fx.rounded(real_points.unionByName(others).groupBy("model").agg(
         F.count("*").alias("rows"), *[f(c).alias(f"{c}_{n}") for c in ("pc1", "pc2")
                                       for n, f in (("mean", F.avg), ("std", F.stddev_pop))]))
 

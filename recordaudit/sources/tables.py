@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 VARIANT_KEYS = ("model", "state", "size")
+#: The scheme of a path and the slashes after it.
+SCHEME = r"^([A-Za-z0-9+.-]+:)?/+"
 SCORES = ("realism", "overall_sim", "fidelity", "utility")
 
 
@@ -46,13 +49,21 @@ def scan_variants(spark: SparkSession, path: str, models=None, states=None, size
     return table
 
 
-def scan_result_dir(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Read result files and stack them by column name; the file order is kept in ``file_no``."""
-    stacked = None
-    for number, path in enumerate(paths):
-        part = spark.read.parquet(path).withColumn("file_no", F.lit(number))
-        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    return stacked
+def scan_result_dir(spark: SparkSession, folder: str) -> DataFrame:
+    """Read a folder of results as one table, stacked by column name; ``file_no`` is each result's place in name order.
+
+    A result is a Parquet file in the folder or a folder of part files. There is one scan however many results there are;
+    its listing gives the names, the file's metadata column tells the rows apart. A column that a result lacks is null.
+    """
+    table = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(folder)
+    plain = lambda path: re.sub(SCHEME, "", unquote(path)).strip("/")  # noqa: E731  listed paths have a scheme, the given one may not
+    files = {plain(file) for file in table.inputFiles()}
+    own = {file: file.split(plain(folder) + "/", 1)[-1].split("/")[0] for file in files}
+    place = {name: i for i, name in enumerate(sorted(set(own.values())))}
+    numbers = spark.createDataFrame([(file, place[name]) for file, name in own.items()], "_file string, file_no int")
+    # One row per file; Spark joins it as its size asks for. A plus sign in a path is no space.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return table.withColumn("_file", F.regexp_replace(path, SCHEME, "")).join(numbers, "_file").drop("_file")
 
 
 def scan_trials(trials: DataFrame, value: str = "value", scores=SCORES) -> DataFrame:
