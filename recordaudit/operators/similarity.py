@@ -6,8 +6,12 @@ pair of values on the map side; the real counts are shared by all models.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from recordaudit.functions.scalars import as_number
@@ -18,6 +22,8 @@ from recordaudit.sources.schema import Spec
 REAL = "real"
 UNKNOWN = "(unknown)"
 BINS = 10
+#: Cells of a pair table that is counted in an array.
+DENSE_CELLS = 1 << 16
 MAX_MODELS = 10_000
 #: Up to this many models, cells have a count column per model.
 MODELS_SIDE_BY_SIDE = 64
@@ -110,9 +116,9 @@ def tv_complement(real: DataFrame, candidates: DataFrame, spec: Spec, columns=No
 
 def column_shapes(real: DataFrame, candidates: DataFrame, spec: Spec) -> DataFrame:
     """Score of every column: (model, column_name, metric, score)."""
-    ks = ks_complement(real, candidates, spec).withColumn("metric", F.lit("KSComplement"))
-    tv = tv_complement(real, candidates, spec).withColumn("metric", F.lit("TVComplement"))
-    return ks.unionByName(tv).select(spec.model, "column_name", "metric", "score")
+    parts = [score(real, candidates, spec).withColumn("metric", F.lit(name)) for score, name, columns in (
+        (ks_complement, "KSComplement", spec.numeric + spec.datetime), (tv_complement, "TVComplement", spec.categorical)) if columns]
+    return reduce(DataFrame.unionByName, parts).select(spec.model, "column_name", "metric", "score")
 
 
 # ---------------------------------------------------------------- pairs of columns
@@ -149,12 +155,45 @@ def _bin(column: str, low: float, high: float) -> Column:
     return F.when(x < low, 0).when(x >= high, BINS + 1).otherwise(inner).cast("string")
 
 
+def _pair_cells(pairs: list[tuple[int, int]], models: int):
+    """Counts of every pair's cells in batches of (m, code …): (pair, cell, m, n), a cell named by a hash of both codes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, *columns = (np.asarray(c) for c in batch.columns)
+            coded = [np.unique(c, return_inverse=True) for c in columns]
+            found: list[tuple[np.ndarray, ...]] = []
+            for number, (i, j) in enumerate(pairs):
+                (first, a), (second, b) = coded[i], coded[j]
+                place = (a * len(second) + b) * models + m
+                cells = len(first) * len(second) * models
+                if cells <= max(DENSE_CELLS, len(place)):
+                    n = np.bincount(place, minlength=cells)
+                    at = np.flatnonzero(n)
+                    n = n[at]
+                else:
+                    at, n = np.unique(place, return_counts=True)
+                pair, who = np.divmod(at, models)
+                left, right = np.divmod(pair, len(second))
+                name = (first[left].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ second[right].view(np.uint64)
+                name ^= name >> np.uint64(29)  # different pairs of codes have different names, but for chance
+                name = name * np.uint64(0xBF58476D1CE4E5B9)
+                found.append((np.full(len(at), number, np.int16), (name ^ (name >> np.uint64(32))).view(np.int64), who.astype(np.int32), n))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["pair", "cell", "m", "n"])
+
+    return count
+
+
 def contingency_similarity(real: DataFrame, candidates: DataFrame, spec: Spec) -> DataFrame:
     """1 - total variation distance of the joint table, for pairs with a categorical column.
 
-    Numeric and datetime columns are cut into ten bins of the real range. A cell of a pair's table is one
-    64-bit hash of the pair and both codes, so rows are exploded into plain numbers; one group-by counts
-    the cells of all models side by side, and the scores are sums over it.
+    Numeric and datetime columns are cut into ten bins of the real range. Every column becomes one 64-bit code a row; a task
+    counts the pair tables of its rows batch by batch (a bincount where a table is small, a sort where it is wide), so
+    what is shuffled are cells with counts, not a row per record and pair. One group-by adds the cells of all models
+    side by side, and the scores are sums over it.
     """
     types = dict(real.dtypes)
     continuous = list(spec.numeric + spec.datetime)
@@ -170,13 +209,12 @@ def contingency_similarity(real: DataFrame, candidates: DataFrame, spec: Spec) -
     sizes = model_sizes(both, spec.model)
     numbered = {m: i for i, m in enumerate(sorted(sizes, key=str))}
     place = lookup(F.coalesce(F.col(spec.model), F.lit("")), {m or "": i for m, i in numbered.items()})
-    coded = numbers.select(place.alias("m"), *[F.xxhash64(F.coalesce(c, F.lit(UNKNOWN))).alias(f"c{i}") for i, c in enumerate(codes)])
+    coded = numbers.select(place.cast("int").alias("m"), *[F.xxhash64(F.coalesce(c, F.lit(UNKNOWN))).alias(f"c{i}") for i, c in enumerate(codes)])
     pairs = [(i, j) for i, j in combinations(range(len(columns)), 2) if i < len(spec.categorical)]
-    hashed = F.array(*[F.struct(F.lit(n).cast("short").alias("pair"), F.xxhash64(F.lit(n), f"c{i}", f"c{j}").alias("cell"))
-                       for n, (i, j) in enumerate(pairs)])
-    exploded = coded.select("m", F.inline(hashed))
+    counted = coded.mapInArrow(_pair_cells(pairs, len(numbered)), "pair short, cell long, m int, n long")
     if len(sizes) <= MODELS_SIDE_BY_SIDE:
-        cells = exploded.groupBy("pair", "cell").agg(*[F.count_if(F.col("m") == i).alias(f"n{i}") for i in numbered.values()])
+        cells = counted.groupBy("pair", "cell").agg(*[
+            F.coalesce(F.sum(F.when(F.col("m") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in numbered.values()])
         p_real = F.col(f"n{numbered[REAL]}") / F.lit(sizes[REAL])
         gaps = [F.sum(F.when(F.col(f"n{i}") > 0, F.abs(p_real - F.col(f"n{i}") / F.lit(sizes[m])) - p_real)).alias(f"g{i}")
                 for m, i in numbered.items() if m != REAL]
@@ -185,7 +223,7 @@ def contingency_similarity(real: DataFrame, candidates: DataFrame, spec: Spec) -
         scores = cells.groupBy("pair").agg(*gaps).select("pair", F.inline(each)) if len(numbered) > 1 else None
     if len(sizes) > MODELS_SIDE_BY_SIDE or len(numbered) < 2:
         names = F.array(*[F.lit(m) for m in numbered])
-        cells = exploded.groupBy(F.get(names, F.col("m")).alias(spec.model), "pair", "cell").agg(F.count("*").alias("n"))
+        cells = counted.groupBy(F.get(names, F.col("m")).alias(spec.model), "pair", "cell").agg(F.sum("n").alias("n"))
         scores = _tv_complement(cells, "pair", ["cell"], spec.model, sizes)
     first = F.array(*[F.lit(columns[i]) for i, _ in pairs])
     second = F.array(*[F.lit(columns[j]) for _, j in pairs])
