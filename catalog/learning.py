@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from catalog import fixtures as fx
 from catalog.registry import query
-from recordaudit.operators import encode, memorization, prep, smote as sm, split
+from recordaudit.operators import encode, memorization, neighbours, prep, smote as sm, split
 from recordaudit.operators.enrich import add_timeline
 
 SQL = fx.with_views
@@ -288,9 +288,10 @@ RATIO_COLUMNS = """round((select avg(dcr) from base), 6) as baseline_dcr,
 
 def ratio(spark, folder) -> DataFrame:
     real, candidates = scaled(spark, folder)
-    candidates = fx.written(candidates)
-    stats = memorization.dcr_stats(fx.written(memorization.nearest_real(real, candidates, KEY, DCR_COLUMNS)))
-    return memorization.dcr_ratio(stats, memorization.nearest_other_real(real, KEY, DCR_COLUMNS))
+    real, candidates = fx.written(real), fx.written(candidates)
+    index = neighbours.box_index(real, KEY, DCR_COLUMNS, keep=2)  # one index for both searches
+    stats = memorization.dcr_stats(fx.written(memorization.nearest_real(index, candidates, KEY, DCR_COLUMNS)))
+    return memorization.dcr_ratio(stats, memorization.nearest_other_real(real, KEY, DCR_COLUMNS, index))
 
 
 @query("e8_dcr_ratio_flag", SQL(STATS_SQL + f"select model, {RATIO_COLUMNS} from stats"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from recordaudit.operators.encode import fill_real_median, fitted, real_medians, standard_scale
-from recordaudit.operators.neighbours import nearest
+from recordaudit.operators.neighbours import BoxIndex, nearest
 from recordaudit.operators.ranges import exact_quantiles
 
 COPY_DISTANCE = 0.05
@@ -21,15 +21,15 @@ def scaled_features(real: DataFrame, candidates: DataFrame, key: str, columns, m
             standard_scale(other, filled, columns).select(key, model, *columns))
 
 
-def nearest_real(real: DataFrame, candidates: DataFrame, key: str, columns, model: str = "model") -> DataFrame:
-    """(key, model, dcr) for scaled tables."""
+def nearest_real(real: DataFrame | BoxIndex, candidates: DataFrame, key: str, columns, model: str = "model") -> DataFrame:
+    """(key, model, dcr) for scaled tables, or for an index of the real one."""
     found = nearest(candidates, real, key, columns)
     return candidates.select(key, model).join(found.select(key, F.col("distance").alias("dcr")), key)
 
 
-def nearest_other_real(real: DataFrame, key: str, columns) -> DataFrame:
+def nearest_other_real(real: DataFrame, key: str, columns, index: BoxIndex | None = None) -> DataFrame:
     """(key, dcr): distance of each real row to the closest other real row."""
-    return nearest(real, real, key, columns, exclude_self=True).select(key, F.col("distance").alias("dcr"))
+    return nearest(real, index or real, key, columns, exclude_self=True).select(key, F.col("distance").alias("dcr"))
 
 
 def dcr_stats(dcr: DataFrame, model: str = "model") -> DataFrame:

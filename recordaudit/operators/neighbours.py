@@ -10,6 +10,7 @@ queries: large boxes are cut into chunks, and boxes asked by many queries are re
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -155,17 +156,29 @@ def _distinct_points(points: DataFrame, key: str, features: list[str], keep: int
     return points.withColumn("_copy", place).where(F.col("_copy") <= keep).drop("_copy")
 
 
-def nearest(queries: DataFrame, points: DataFrame, key: str, features, k: int = 1,
-            exclude_self: bool = False) -> DataFrame:
-    """(key, rank 1…k, neighbour, distance) by Euclidean distance, exact, ties by neighbour key.
+@dataclass
+class BoxIndex:
+    """Points in boxes, for any number of searches: the split tree, the placed points (written), and each box's size and edges."""
 
-    Features are null-free numbers; keys are strings, unique in each table. With ``exclude_self``
-    a point with the query's own key is skipped.
-    """
+    key: str
+    features: list[str]
+    keep: int
+    tree: SplitTree
+    placed: DataFrame
+    points_in: dict[int, int]
+    numbers: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def _columns(key: str, features) -> list:
+    return [F.col(key).cast("string").alias(key), *[F.col(c).cast("double").alias(c) for c in features]]
+
+
+def box_index(points: DataFrame, key: str, features, keep: int = 1) -> BoxIndex:
+    """The points' boxes. ``keep`` is the most answers a search may ask for, one more if a point must not find itself."""
     features = list(features)
-    columns = [F.col(key).cast("string").alias(key), *[F.col(c).cast("double").alias(c) for c in features]]
-    points = written(_distinct_points(points.select(columns), key, features, k + int(exclude_self)))
-    queries = written(queries.select(columns))
+    points = written(_distinct_points(points.select(_columns(key, features)), key, features, keep))
     total = points.count()
     boxes = max(1, min(MAX_BOXES, math.ceil(total / GROUP_ROWS)))
     # Rows below a hash threshold that follows the count: no task gathers candidates for the sample.
@@ -178,10 +191,24 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, features, k: int =
     edges = placed.groupBy("box").agg(
         F.count("*").alias("n"), *[F.min(c).alias(f"{c}_low") for c in features],
         *[F.max(c).alias(f"{c}_high") for c in features]).orderBy("box").collect()
-    points_in = {r["box"]: r["n"] for r in edges}
-    numbers = np.array([r["box"] for r in edges])
-    low = np.array([[r[f"{c}_low"] for c in features] for r in edges])
-    high = np.array([[r[f"{c}_high"] for c in features] for r in edges])
+    return BoxIndex(
+        key, features, keep, tree, placed, {r["box"]: r["n"] for r in edges}, np.array([r["box"] for r in edges]),
+        np.array([[r[f"{c}_low"] for c in features] for r in edges]), np.array([[r[f"{c}_high"] for c in features] for r in edges]))
+
+
+def nearest(queries: DataFrame, points: DataFrame | BoxIndex, key: str, features, k: int = 1,
+            exclude_self: bool = False) -> DataFrame:
+    """(key, rank 1…k, neighbour, distance) by Euclidean distance, exact, ties by neighbour key.
+
+    Features are null-free numbers; keys are strings, unique in each table. With ``exclude_self``
+    a point with the query's own key is skipped. ``points`` may be an index that several searches share.
+    """
+    features = list(features)
+    index = points if isinstance(points, BoxIndex) else box_index(points, key, features, k + int(exclude_self))
+    if (index.key, index.features) != (key, features) or index.keep < k + int(exclude_self):
+        raise ValueError("the index was built for another key, other features or fewer answers")
+    queries = written(queries.select(_columns(key, features)))
+    tree, placed, points_in, numbers, low, high = index.tree, index.placed, index.points_in, index.numbers, index.low, index.high
 
     at_home = _search(_with_box(queries, tree, features), placed, points_in, key, features, k, exclude_self)
     if len(numbers) == 1:
