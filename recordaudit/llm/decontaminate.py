@@ -16,7 +16,7 @@ from recordaudit.session import ship
 
 #: Word edits (changed, missing or added words) an item may differ by, as a share of its words.
 ERROR_RATE = 0.2
-#: Shorter items occur in clean text by chance and are not searched.
+#: Shorter items have no edits to spare: with some, they would meet clean text by chance. They are searched verbatim.
 MIN_WORDS = 8
 #: Items are searched in blocks of about this many bytes; each block is one pass over the documents.
 BLOCK_BYTES = 16 << 20
@@ -25,8 +25,8 @@ FOUND = StructType([StructField("item_id", StringType()), StructField("distance"
                     StructField("first_word", LongType()), StructField("last_word", LongType())])
 
 
-def budget(n_words: int, rate: float = ERROR_RATE) -> int:
-    return int(n_words * rate + 1e-9)
+def budget(n_words: int, rate: float = ERROR_RATE, min_words: int = MIN_WORDS) -> int:
+    return int(n_words * rate + 1e-9) if n_words >= min_words else 0
 
 
 def cuts(n_words: int, errors: int) -> list[tuple[int, int]]:
@@ -74,8 +74,8 @@ class Index:
 
 def build(items: list[tuple[str, str]], rate: float = ERROR_RATE, min_words: int = MIN_WORDS) -> Index:
     parsed = [(i, Words([t.encode()]).hashes) for i, t in items]
-    parsed = [(i, w) for i, w in parsed if len(w) >= min_words]
-    index = Index([i for i, _ in parsed], [w for _, w in parsed], [budget(len(w), rate) for _, w in parsed], {})
+    parsed = [(i, w) for i, w in parsed if len(w)]
+    index = Index([i for i, _ in parsed], [w for _, w in parsed], [budget(len(w), rate, min_words) for _, w in parsed], {})
     found: dict[int, list[tuple[int, int, int]]] = {}
     for k, w in enumerate(index.words):
         sums = prefix(w)
@@ -152,8 +152,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_
     """(doc_id, item_id, distance, first_word, last_word): items within their error budget of a stretch of a document.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased, compared by 64-bit hashes. One
-    row per document row and item, with the least distance. Null or empty texts hold nothing; null and short
-    items aren't searched; repeated items count once; other columns are ignored; empty tables give no rows.
+    row per document row and item, with the least distance. Items of fewer than ``min_words`` words are searched verbatim.
+    Null or empty texts hold nothing; items without words aren't searched; repeated items count once; other columns are ignored; empty tables give no rows.
     Documents are read in one pass without a shuffle per block of items; blocks are shipped to the tasks and
     have a bounded size, so a benchmark of any size works.
     """
