@@ -15,7 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordaudit.llm.hashing import Words, chunks, grams, lean, mix
@@ -97,14 +97,20 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 unique = np.unique(hashes[offset[i]:offset[i + 1]])
                 counts[first + i], nodes[first + i] = len(unique), _fingerprint(unique)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(counts), pa.array(nodes, pa.binary()), _binary(signatures)], ["doc_id", "n_shingles", "node", "signature"])
+            [ids, pa.array(counts), pa.array(nodes, pa.binary()), _binary(signatures), batch.column(2)],
+            ["doc_id", "n_shingles", "node", "signature", "nameless"])
+
+
+def nameless() -> Column:
+    """What tells rows without a doc_id apart: a hash of the text; null for rows that have one."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, signature) per document; node is null for an empty set."""
+    """(doc_id, n_shingles, node, signature, nameless) per document; node is null for an empty set."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        lean(_describe), "doc_id long, n_shingles long, node binary, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", nameless().alias("nameless")).mapInArrow(
+        lean(_describe), "doc_id long, n_shingles long, node binary, signature binary, nameless long")
 
 
 def _keys(depth: int, orders: np.ndarray) -> Callable:
@@ -332,6 +338,12 @@ def across(crowded: DataFrame, found: DataFrame) -> DataFrame:
     return placed.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "label", side.alias("side"))
 
 
+def _texts_without_id(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, text) of the nodes that no row with an id has, each once however often the text is repeated."""
+    own = docs.filter("doc_id is null").select("text", F.xxhash64("text").alias("nameless"))
+    return own.join(chosen, "nameless").groupBy("node").agg(F.first("text").alias("text"))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and kept, per row of ``docs``.
 
@@ -341,17 +353,24 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     all kept or all dropped, as they share their doc_id. A null doc_id never names a component: kept is true for it
     only if no row of its component has an id. Other columns are ignored; an empty table gives an empty result.
     """
+    return _judged(docs, threshold).drop("nameless")
+
+
+def _judged(docs: DataFrame, threshold: int) -> DataFrame:
+    """``near_duplicates`` with the column ``nameless``."""
     described = written(describe(docs))
     nodes = written(described.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")))
+        F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"),
+        F.min("nameless").alias("nameless")))
     members, crowded = regions(nodes, threshold)
     members = written(members)
     wanted = members.select("node").unionByName(crowded.select("node")).distinct()
-    # One text per node that is in a region; the smallest id is enough to find it.
-    chosen = described.join(nodes.join(wanted, "node", "left_semi").select("node", F.col("least").alias("doc_id")), ["node", "doc_id"], "left_semi")
-    chosen = chosen.select("doc_id", "node").filter("doc_id is not null").distinct()
-    sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("node", "text")
-                   .mapInArrow(lean(_full_sets), "node binary, shingles binary"))
+    # One text per node that is in a region; the smallest id is enough to find it, or else the text's hash.
+    wanted = nodes.join(wanted, "node", "left_semi")
+    chosen = wanted.filter("least is not null").select(F.col("least").alias("doc_id"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("node", "text")
+    texts = texts.unionByName(_texts_without_id(docs, wanted.filter("least is null").select("nameless", "node")))
+    sets = written(texts.mapInArrow(lean(_full_sets), "node binary, shingles binary"))
 
     pair = "a binary, b binary"
     sparse = members.filter(F.col("members") <= SMALL).join(nodes, "node").select("key", "node", "n_shingles", "signature")
@@ -378,25 +397,30 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     named = roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("linked_id"))
     linked_ids = roots.join(named, "root").select("node", "linked_id")
     own = nodes.select("node", "least").join(linked_ids, "node", "left").select("node", F.coalesce("linked_id", "least").alias("found"))
-    return described.select("doc_id", "n_shingles", "node").join(own, "node", "left").select(
+    return described.select("doc_id", "n_shingles", "node", "nameless").join(own, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.coalesce("found", "doc_id")).alias("kept"))
+        F.col("doc_id").eqNullSafe(F.coalesce("found", "doc_id")).alias("kept"), "nameless")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest doc_id; all columns.
 
     Rows without shingles are no duplicates of anything and stay. Of rows that repeat doc_id and text, one stays;
-    rows that share a doc_id but not the text are one document in two versions and stay or go together.
+    rows that share a doc_id but not the text are one document in two versions and stay or go together. Rows without
+    an id are told apart by their text: one goes if its component has an id, else all different ones stay.
     """
-    judged = written(near_duplicates(docs, threshold))
-    dropped = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    again = judged.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    rest = docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["doc_id"]), "left_anti")
+    judged = written(_judged(docs, threshold))
+    dropped = judged.filter(~F.col("kept")).select("doc_id", "nameless").distinct()
+    again = judged.filter("n_shingles > 0").groupBy("doc_id", "nameless").count().filter("count > 1").select("doc_id", "nameless")
+
+    def same(rows: DataFrame, other: DataFrame) -> Column:
+        own = F.when(rows["doc_id"].isNull(), F.xxhash64(rows["text"]))
+        return rows["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & own.eqNullSafe(other["nameless"])
+
+    rest = docs.join(dropped, same(docs, dropped), "left_anti")
     if again.isEmpty():  # no repeated rows: the texts are joined once
         return rest
-    id_of = rest["doc_id"].cast("long")
-    once = rest.join(again, id_of.eqNullSafe(again["doc_id"]), "left_anti")
-    repeated = rest.join(again, id_of.eqNullSafe(again["doc_id"]), "left_semi")
+    once = rest.join(again, same(rest, again), "left_anti")
+    repeated = rest.join(again, same(rest, again), "left_semi")
     blank = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
     return once.unionByName(repeated.filter(blank)).unionByName(repeated.filter(~blank).dropDuplicates(["doc_id", "text"]))

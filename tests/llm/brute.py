@@ -14,7 +14,7 @@ def words(text):
     return WORD.findall(text or "")
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, threshold=85):
     """rows: (doc_id, text); per row (shingles, component)."""
     sets = []
     for _, text in rows:
@@ -30,7 +30,7 @@ def near_duplicates(rows):
     for i in range(len(rows)):
         for j in range(i):
             common = len(sets[i] & sets[j])
-            if common and 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+            if common and 100 * common >= threshold * (len(sets[i]) + len(sets[j]) - common):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -93,9 +93,9 @@ def leaks(text, items, rate=0.2, least=8):
     found = []
     for item, body in items:
         p = words((body or "").translate(LOWER))
-        if len(p) >= least and w:
+        if p and w:
             d = distance(p, w)
-            if d <= int(len(p) * rate + 1e-9):
+            if d <= (int(len(p) * rate + 1e-9) if len(p) >= least else 0):
                 found.append((item, d))
     return sorted(found)
 

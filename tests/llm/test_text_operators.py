@@ -89,6 +89,22 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
     assert ids.count(25) == 1 and ids.count(6) == 0 and ids.count(5) == 1 and ids.count(14) == 1 and ids.count(24) == 2
 
 
+def test_near_duplicates_without_ids(spark):
+    draw = random.Random(12)
+    text = prose(draw, 300, 5000)
+    rows = [(1, text), (None, text + " one"), (None, text + " one two"), (7, text + " one two three"), (None, prose(draw, 80, 5000))]
+    rows += [(None, "alone " + prose(draw, 200, 5000))] * 3  # repeated rows, none with an id
+    twin = prose(draw, 200, 5000)
+    rows += [(None, twin), (None, twin + " end"), (9, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.near_duplicates(docs).collect()
+    expected = [(d, n, c if c is not None else d) for (d, _), (n, c) in zip(rows, brute.near_duplicates(rows))]
+    assert norm((r.doc_id, r.n_shingles, r.component_id) for r in found) == norm(expected)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+    kept = [(r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(docs).collect()]
+    assert norm(kept) == norm([(1, text), rows[4], rows[5], rows[8], rows[9], (9, None), (None, None)])
+
+
 def test_near_duplicates_in_a_crowded_region(spark):
     """A group around the threshold, larger than a small region: no link may get lost."""
     draw = random.Random(9)
@@ -458,6 +474,10 @@ def test_leaks_equal_brute_force(spark, odd, none):
     assert norm(decontaminate.find_leaks(docs, bench).select("doc_id", "item_id", "distance").collect()) == expected
     # Blocks of items give the same.
     assert norm(decontaminate.find_leaks(docs, bench, block_bytes=2000).select("doc_id", "item_id", "distance").collect()) == expected
+    # A seven-word question is found verbatim, not with an edit.
+    seven = spark.createDataFrame([("q", "who was the first to fly there")], "item_id string, text string")
+    quoted = spark.createDataFrame([(1, "He asked: Who was THE first\nto fly there and left"), (2, "who was the very first to fly there")], "doc_id long, text string")
+    assert [tuple(r)[:3] for r in decontaminate.find_leaks(quoted, seven).collect()] == [(1, "q", 0)]
     kept = decontaminate.drop_leaks(docs, bench)
     assert kept.columns == docs.columns
     assert norm((r.doc_id, r.text) for r in kept.collect()) == norm((d, t) for d, t in rows if not brute.leaks(t, items))
