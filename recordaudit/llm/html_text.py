@@ -12,6 +12,7 @@ import html
 import math
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,6 +82,21 @@ class Page:
     def _parse(self, source: str) -> None:
         stack, raw, block, at, n = [0], 0, 0, 0, len(source)
         tags = self.tags
+        #: Places in the stack of the open elements of each name, so that no tag has to walk the stack.
+        places: dict[str, list[int]] = defaultdict(list)
+
+        def cut(keep: int) -> int:
+            """Closes all elements from a place of the stack on; the number of raw ones among them."""
+            hidden = 0
+            while len(stack) > keep:
+                gone = tags[stack.pop()]
+                places[gone].pop()
+                hidden += gone in _RAW
+            return hidden
+
+        def last(names: set[str]) -> int:
+            return max((places[t][-1] for t in names if places[t]), default=0)
+
         while at < n:
             found = _TOKEN.search(source, at)
             stop = found.start() if found else n
@@ -90,7 +106,7 @@ class Page:
                     self.texts.append(html.unescape(text) if "&" in text else text)
                     self.owners.append(stack[-1])
                     self.blocks.append(block)
-                elif self.texts and self.blocks[-1] == block:
+                elif self.texts and self.blocks[-1] == block and self.texts[-1][-1:] != " ":
                     self.texts[-1] += " "
             if not found:
                 break
@@ -100,31 +116,23 @@ class Page:
                 continue
             tag = tag.lower()
             if slash:
-                if tag in tags_open(stack, tags):
-                    while True:
-                        gone = tags[stack.pop()]
-                        raw -= gone in _RAW
-                        if gone == tag:
-                            break
+                if places[tag]:
+                    raw -= cut(places[tag][-1])
                 if tag not in _INLINE:
                     block += 1
                 continue
             if tag == "br":
-                if self.texts and self.blocks[-1] == block:
+                if self.texts and self.blocks[-1] == block and self.texts[-1][-1:] != " ":
                     self.texts[-1] += " "
                 continue
             if tag not in _INLINE:
                 block += 1
             if tag in _ENDS_P or tag in _CLOSES:
-                closes = _CLOSES.get(tag, {"p"})
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] in closes:
-                        del stack[k:]
-                        break
-                    if tags[stack[k]] in _SCOPE:
-                        break
+                nearest = last(_CLOSES.get(tag, {"p"}))
+                if nearest and nearest >= last(_SCOPE):
+                    raw -= cut(nearest)
             if tag == "body" and raw:  # a head that was never closed
-                del stack[1:]
+                cut(1)
                 raw = 0
             node = len(tags)
             against = favour = 0
@@ -148,14 +156,11 @@ class Page:
                 end = _RAW_TEXT[tag].search(source, at)
                 at = end.end() if end else n
                 continue
+            places[tag].append(len(stack))
             stack.append(node)
             raw += tag in _RAW
 
 
-def tags_open(stack: list[int], tags: list[str]) -> list[str]:
-    return [tags[i] for i in stack[1:]]
-
-
 @dataclass
 class Forest:
     """Boosted trees as arrays: (feature, threshold, left child, right child, value) per node, by tree."""
