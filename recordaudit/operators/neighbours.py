@@ -1,10 +1,12 @@
 """Exact nearest neighbours between two tables of points.
 
-The points are cut into boxes by a tree of axis splits learnt from a sample of fixed size. Every
-query first searches the box it falls in; the distance found there rules out most other boxes,
-and the query visits only those whose nearest corner is not farther. The answer does not depend
-on the sample, only the work does. Work is done in groups of at most a few thousand points and
-queries: large boxes are cut into chunks, and boxes asked by many queries are repeated.
+The points are cut into boxes by trees of axis splits learnt from a sample: one tree for up to
+``REGIONS`` boxes; beyond that its leaves are regions, and every region is split into boxes by a
+tree of its own, kept as rows of a table. Every query first searches the box it falls in; the
+distance found there rules out most other boxes, and the query visits only those whose nearest
+corner is not farther. The answer does not depend on the sample, only the work does. Work is done
+in groups of at most a few thousand points and queries: large boxes are cut into chunks, and boxes
+asked by many queries are repeated. The driver holds regions, never boxes.
 """
 
 from __future__ import annotations
@@ -18,13 +20,19 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from recordaudit.session import written
 
-MAX_BOXES = 8192
+#: Leaves of the first tree. More boxes than its square make it grow with their square root.
+REGIONS = 4096
 SAMPLE_PER_BOX = 16
 GROUP_ROWS = 2048
+#: Rows of one region that are placed, or compared with its boxes' edges, in one task.
+REGION_ROWS = 65536
 CELLS_AT_ONCE = 2_000_000
 DIGITS = 9
 
 
+NODE = "axis int, cut double, low int, high int, box int, depth int"
+
+
 class SplitTree:
     """Axis splits as arrays; ``place`` finds the box number of many points at once."""
 
@@ -57,6 +65,21 @@ class SplitTree:
             self.count += 1
         return node
 
+    def nodes(self) -> pd.DataFrame:
+        """The tree as rows, numbered by ``node``."""
+        return pd.DataFrame({"node": range(len(self.axis)), "axis": self.axis, "cut": self.cut, "low": self.low,
+                             "high": self.high, "box": self.box, "depth": self.depth})
+
+    @classmethod
+    def of(cls, nodes: pd.DataFrame) -> SplitTree:
+        """The tree that ``nodes`` gave."""
+        tree = cls.__new__(cls)
+        nodes = nodes.sort_values("node")
+        for name in ("axis", "cut", "low", "high", "box"):
+            setattr(tree, name, nodes[name].to_numpy())
+        tree.depth = int(nodes["depth"].iloc[0])
+        return tree
+
     def place(self, points: np.ndarray) -> np.ndarray:
         node = np.zeros(len(points), dtype=int)
         each = np.arange(len(points))
@@ -66,12 +89,30 @@ class SplitTree:
         return self.box[node]
 
 
-def _with_box(df: DataFrame, tree: SplitTree, features: list[str]) -> DataFrame:
+def _in_regions(rows: DataFrame, table: DataFrame, key: str, work, schema: str) -> DataFrame:
+    """``work`` on the (written) rows of every region, in chunks of about ``REGION_ROWS``, with the region's rows of ``table``."""
+    chunks = written(rows.groupBy("region").agg(F.ceil(F.count("*") / REGION_ROWS).cast("int").alias("chunks")))
+    left = rows.join(chunks, "region").withColumn("chunk", F.pmod(F.xxhash64(key), "chunks").cast("int")).drop("chunks")
+    right = table.join(chunks, "region").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    return left.groupBy("region", "chunk").cogroup(right.groupBy("region", "chunk")).applyInPandas(work, schema)
+
+
+def _with_box(df: DataFrame, key: str, features: list[str], tree: SplitTree, trees: DataFrame | None) -> DataFrame:
+    """Adds ``region``, the leaf of the first tree, and ``box``, the leaf of the region's own tree (0 without one)."""
     @F.pandas_udf("int")
     def place(rows: pd.DataFrame) -> pd.Series:
         return pd.Series(tree.place(rows.to_numpy(dtype=float)).astype("int32"))
 
-    return df.withColumn("box", F.coalesce(place(F.struct(*features)), F.lit(0)))
+    rows = df.withColumn("region", F.coalesce(place(F.struct(*features)), F.lit(0)))
+    if trees is None:
+        return rows.withColumn("box", F.lit(0))
+
+    def inside(rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[[key, *features, "region"]].copy()
+        rows["box"] = SplitTree.of(nodes).place(rows[features].to_numpy(dtype=float)) if len(nodes) and len(rows) else 0
+        return rows
+
+    return _in_regions(written(rows), trees, key, inside, f"{_schema(key, features)}, region int, box int")
 
 
 def _closest(queries: np.ndarray, points: np.ndarray, k: int, own: np.ndarray | None):
@@ -101,24 +142,20 @@ def _closest(queries: np.ndarray, points: np.ndarray, k: int, own: np.ndarray |
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
-def _search(asked: DataFrame, placed: DataFrame, points_in: dict[int, int], key: str, features: list[str],
-            k: int, exclude_self: bool) -> DataFrame:
+def _search(asked: DataFrame, index: BoxIndex, k: int, exclude_self: bool) -> DataFrame:
     """(key, neighbour, distance): the k closest points in every asked box chunk."""
-    spark = asked.sparkSession
-    load = {r["box"]: r["count"] for r in asked.groupBy("box").count().collect()}
-    plan = spark.createDataFrame(
-        [(b, math.ceil(points_in[b] / GROUP_ROWS), math.ceil(n / GROUP_ROWS)) for b, n in load.items()],
-        "box int, chunks int, repeats int")
-    plan = F.broadcast(plan)  # at most MAX_BOXES rows
+    key, features, box = index.key, index.features, ["region", "box"]
+    plan = written(asked.groupBy(*box).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("repeats")).join(
+        index.edges.select(*box, F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("chunks")), box))
 
     def numbers(name):
         return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
 
-    left = asked.join(plan, "box").withColumn(
+    left = asked.join(plan, box).withColumn(
         "repeat", F.pmod(F.xxhash64(key), "repeats").cast("int")).withColumn("chunk", numbers("chunks"))
-    right = placed.join(plan, "box").withColumn(
+    right = index.placed.join(plan, box).withColumn(
         "chunk", F.pmod(F.xxhash64(key), "chunks").cast("int")).withColumn("repeat", numbers("repeats"))
-    group = ["box", "chunk", "repeat"]
+    group = [*box, "chunk", "repeat"]
 
     def closest(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or points.empty:
@@ -158,42 +195,109 @@ def _distinct_points(points: DataFrame, key: str, features: list[str], keep: int
 
 @dataclass
 class BoxIndex:
-    """Points in boxes, for any number of searches: the split tree, the placed points (written), and each box's size and edges."""
+    """Points in boxes, for any number of searches.
+
+    ``trees`` are the nodes of the regions' own trees (None while regions are boxes), ``placed`` the points with region
+    and box, ``edges`` the boxes with their number of points and extent; all three are written tables. The driver
+    has the first tree and, in ``regions``, one row of extents per leaf of it.
+    """
 
     key: str
     features: list[str]
     keep: int
     tree: SplitTree
+    trees: DataFrame | None
     placed: DataFrame
-    points_in: dict[int, int]
-    numbers: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
+    edges: DataFrame
+    regions: pd.DataFrame
 
 
 def _columns(key: str, features) -> list:
     return [F.col(key).cast("string").alias(key), *[F.col(c).cast("double").alias(c) for c in features]]
 
 
+def _schema(key: str, features) -> str:
+    return f"{key} string, {', '.join(f'`{c}` double' for c in features)}"
+
+
+def _extent(features: list[str], low: str = "{}", high: str = "{}") -> list:
+    return [*[F.min(low.format(c)).alias(f"{c}_low") for c in features], *[F.max(high.format(c)).alias(f"{c}_high") for c in features]]
+
+
+def _in_reach(rows: pd.DataFrame, boxes: pd.DataFrame, features: list[str]):
+    """Row numbers of rows and boxes where the box's nearest corner is within the row's ``reach`` (null: any box), in blocks."""
+    limit = rows["reach"].fillna(np.inf).to_numpy()
+    step = max(1, CELLS_AT_ONCE // max(1, len(boxes)))
+    for start in range(0, len(rows), step):
+        part = rows[start:start + step]
+        square = np.zeros((len(part), len(boxes)))
+        for c in features:
+            value = part[c].to_numpy(dtype=float)[:, None]
+            square += np.maximum(np.maximum(boxes[f"{c}_low"].to_numpy() - value, value - boxes[f"{c}_high"].to_numpy()), 0) ** 2
+        q, b = np.nonzero(np.round(np.sqrt(square), DIGITS) <= limit[start:start + step, None])
+        yield q + start, b
+
+
 def box_index(points: DataFrame, key: str, features, keep: int = 1) -> BoxIndex:
     """The points' boxes. ``keep`` is the most answers a search may ask for, one more if a point must not find itself."""
     features = list(features)
     points = written(_distinct_points(points.select(_columns(key, features)), key, features, keep))
     total = points.count()
-    boxes = max(1, min(MAX_BOXES, math.ceil(total / GROUP_ROWS)))
-    # Rows below a hash threshold that follows the count: no task gathers candidates for the sample.
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(max(total, 1))) < SAMPLE_PER_BOX * boxes
-    sample = points.where(drawn).select(features).toPandas()
+    boxes = max(1, math.ceil(total / GROUP_ROWS))
+    regions = min(boxes, max(REGIONS, math.isqrt(boxes)))
+
+    def drawn(rows: DataFrame, leaves: int) -> DataFrame:
+        """Rows below a hash threshold that follows the count: no task gathers candidates for the sample."""
+        return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(max(total, 1))) < SAMPLE_PER_BOX * leaves)
+
+    sample = drawn(points, regions).select(features).toPandas()
     if sample.empty:
         sample = points.select(features).limit(1).toPandas()
-    tree = SplitTree(sample.to_numpy(dtype=float), boxes)
-    placed = _with_box(points, tree, features)
-    edges = placed.groupBy("box").agg(
-        F.count("*").alias("n"), *[F.min(c).alias(f"{c}_low") for c in features],
-        *[F.max(c).alias(f"{c}_high") for c in features]).orderBy("box").collect()
-    return BoxIndex(
-        key, features, keep, tree, placed, {r["box"]: r["n"] for r in edges}, np.array([r["box"] for r in edges]),
-        np.array([[r[f"{c}_low"] for c in features] for r in edges]), np.array([[r[f"{c}_high"] for c in features] for r in edges]))
+    tree = SplitTree(sample.to_numpy(dtype=float), regions)
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        own = SplitTree(rows[features].to_numpy(dtype=float), math.ceil(len(rows) / SAMPLE_PER_BOX)).nodes()
+        return own.assign(region=rows["region"].iloc[0])
+
+    trees = None
+    if regions < boxes:
+        trees = written(_with_box(drawn(points, boxes), key, features, tree, None).groupBy("region").applyInPandas(
+            grow, f"region int, node int, {NODE}"))
+    placed = written(_with_box(points, key, features, tree, trees))
+    edges = written(placed.groupBy("region", "box").agg(F.count("*").alias("n"), *_extent(features)))
+    extents = edges.groupBy("region").agg(F.count("*").alias("boxes"), *_extent(features, "{}_low", "{}_high")).orderBy("region").toPandas()
+    return BoxIndex(key, features, keep, tree, trees, placed, edges, extents)
+
+
+def _elsewhere(bounded: DataFrame, index: BoxIndex) -> DataFrame:
+    """(key, features, region, box): boxes other than its own that a query with this ``reach`` must visit."""
+    key, features, extents = index.key, index.features, index.regions
+    schema = f"{_schema(key, features)}, reach double, own_region int, own_box int, region int"
+
+    def regions_in_reach(batches):
+        numbers = extents["region"].to_numpy()
+        for batch in batches:
+            batch = batch.rename(columns={"region": "own_region", "box": "own_box"})
+            for q, b in _in_reach(batch, extents, features):
+                out = batch.iloc[q][[key, *features, "reach", "own_region", "own_box"]].copy()
+                out["region"] = numbers[b].astype("int32")
+                yield out
+
+    own = (F.col("region") == F.col("own_region")) & (F.col("box") == F.col("own_box"))
+    away = bounded.mapInPandas(regions_in_reach, schema)
+    if index.trees is None:
+        away = away.withColumn("box", F.lit(0))
+    else:
+        def boxes_in_reach(rows: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+            columns = [key, *features, "reach", "own_region", "own_box", "region"]
+            if rows.empty or boxes.empty:
+                return pd.DataFrame({c: [] for c in [*columns, "box"]})
+            found = [rows.iloc[q][columns].assign(box=boxes["box"].to_numpy()[b]) for q, b in _in_reach(rows, boxes, features)]
+            return pd.concat(found, ignore_index=True)
+
+        edges = index.edges.select("region", "box", *[f"{c}_{end}" for end in ("low", "high") for c in features])
+        away = _in_regions(written(away), edges, key, boxes_in_reach, f"{schema}, box int")
+    return away.where(~own).select(key, *features, "region", "box")
 
 
 def nearest(queries: DataFrame, points: DataFrame | BoxIndex, key: str, features, k: int = 1,
@@ -207,40 +311,15 @@ def nearest(queries: DataFrame, points: DataFrame | BoxIndex, key: str, features
     index = points if isinstance(points, BoxIndex) else box_index(points, key, features, k + int(exclude_self))
     if (index.key, index.features) != (key, features) or index.keep < k + int(exclude_self):
         raise ValueError("the index was built for another key, other features or fewer answers")
-    queries = written(queries.select(_columns(key, features)))
-    tree, placed, points_in, numbers, low, high = index.tree, index.placed, index.points_in, index.numbers, index.low, index.high
-
-    at_home = _search(_with_box(queries, tree, features), placed, points_in, key, features, k, exclude_self)
-    if len(numbers) == 1:
+    queries = written(_with_box(queries.select(_columns(key, features)), key, features, index.tree, index.trees))
+    at_home = _search(queries, index, k, exclude_self)
+    if index.regions["boxes"].sum() <= 1:
         found = at_home
     else:
         home = written(_best(at_home, key, k))
         reach = F.when(F.size("best") >= k, F.element_at("best", k)["distance"])
-        bounded = queries.join(home, key, "left").select(key, *features, reach.alias("reach"))
-
-        def boxes_in_reach(batches):
-            for batch in batches:
-                rows = batch[features].to_numpy(dtype=float)
-                own = tree.place(rows)
-                limit = batch["reach"].fillna(np.inf).to_numpy()
-                step = max(1, CELLS_AT_ONCE // len(numbers))
-                for start in range(0, len(rows), step):
-                    part = rows[start:start + step]
-                    square = np.zeros((len(part), len(numbers)))
-                    for axis in range(part.shape[1]):
-                        value = part[:, axis, None]
-                        gap = np.maximum(np.maximum(low[:, axis] - value, value - high[:, axis]), 0)
-                        square += gap ** 2
-                    near = np.round(np.sqrt(square), DIGITS) <= limit[start:start + step, None]
-                    near &= numbers[None, :] != own[start:start + step, None]
-                    q, b = np.nonzero(near)
-                    out = batch.iloc[start + q][[key, *features]].copy()
-                    out["box"] = numbers[b].astype("int32")
-                    yield out
-
-        schema = f"{key} string, {', '.join(f'`{c}` double' for c in features)}, box int"
-        away = written(bounded.mapInPandas(boxes_in_reach, schema))
-        elsewhere = _search(away, placed, points_in, key, features, k, exclude_self)
+        bounded = queries.join(home, key, "left").select(key, *features, reach.alias("reach"), "region", "box")
+        elsewhere = _search(written(_elsewhere(bounded, index)), index, k, exclude_self)
         found = home.select(key, F.explode("best").alias("entry")).select(
             key, "entry.neighbour", "entry.distance").unionByName(elsewhere)
     return _best(found, key, k).select(key, F.posexplode("best").alias("rank", "entry")).select(

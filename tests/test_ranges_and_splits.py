@@ -101,9 +101,11 @@ def frame(spark, points):
     return spark.createDataFrame([(k, *map(float, p)) for k, p in points.items()], "k string, a double, b double, c double")
 
 
-@pytest.mark.parametrize("k,exclude", [(1, False), (1, True), (4, True)])
-def test_nearest_is_exact_with_many_boxes_hot_points_and_clusters(spark, monkeypatch, k, exclude):
+@pytest.mark.parametrize("k,exclude,regions", [(1, False, 4096), (1, True, 4096), (4, True, 4096), (1, False, 3), (4, True, 3)])
+def test_nearest_is_exact_with_many_boxes_hot_points_and_clusters(spark, monkeypatch, k, exclude, regions):
     monkeypatch.setattr(neighbours, "GROUP_ROWS", 24)
+    monkeypatch.setattr(neighbours, "REGIONS", regions)  # 3: fewer than boxes, so that regions have trees of their own
+    monkeypatch.setattr(neighbours, "REGION_ROWS", 50)
     rng = np.random.default_rng(3)
     points = {f"p{i}": rng.normal(0, 1, 3).round(3) for i in range(250)}
     points.update({f"h{i}": (0.5, 0.5, 0.5) for i in range(130)})  # a third are copies of one point
@@ -121,6 +123,19 @@ def test_nearest_is_exact_with_many_boxes_hot_points_and_clusters(spark, monkeyp
         assert [n for _, n in got[name]] == [n for _, n in expected[name]]
 
 
+def test_boxes_beyond_the_first_tree_are_rows_of_tables(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 8)
+    monkeypatch.setattr(neighbours, "REGIONS", 4)
+    rng = np.random.default_rng(9)
+    points = {f"p{i}": rng.uniform(0, 1, 3) for i in range(400)}
+    index = neighbours.box_index(frame(spark, points), "k", ["a", "b", "c"])
+    assert len(index.regions) == 7  # the square root of 50 boxes, and what the driver holds
+    sizes = [r.n for r in index.edges.collect()]
+    assert sum(sizes) == 400 and len(sizes) > 25
+    assert max(sizes) < 64
+    assert neighbours.box_index(frame(spark, points).limit(0), "k", ["a", "b", "c"]).regions.empty
+
+
 def test_distance_to_itself_is_zero(spark):
     points = {f"p{i}": (i, i * i % 7, 1) for i in range(40)}
     found = neighbours.nearest(frame(spark, points), frame(spark, points), "k", ["a", "b", "c"])
