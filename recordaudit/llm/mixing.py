@@ -1,7 +1,13 @@
-"""Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks."""
+"""Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
+
+There may be as many sources as documents (hosts, say): ranks and prefix sums over sources and seats go by range
+parts, so that no window holds all of them.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +19,27 @@ EPOCHS = 3
 BLOCK = 4
 SHARDS = 8
 SEED = "mix-1"
-#: Hex digits of the seeded key that cut a source into parts for the prefix sums; 16 ** 3 parts per source.
-KEY_DIGITS = 3
+#: Leading hex digits of the seeded key cut a source into parts for the prefix sums: enough for this many rows a part.
+PART_ROWS = 4096
+
+
+def _with_sums(rows: DataFrame, by: list[Column], sums: dict[str, Column], within: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the sums over all rows before this one in the order ``by`` (no ties; ``within`` comes first in it).
+
+    Rows are cut into range parts; a part's sums are added to the sums inside it. The result is a written table.
+    """
+    parted = written(rows.repartitionByRange(*[F.col(c) for c in within], *by).withColumn("range_part", F.spark_partition_id()))
+    before_part = Window.partitionBy(*within).orderBy("range_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    before_row = Window.partitionBy("range_part", *within).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parted.groupBy("range_part", *within).agg(*[F.sum(c).alias(f"{name}_of_part") for name, c in sums.items()]).select(
+        "range_part", *within, *[F.coalesce(F.sum(f"{name}_of_part").over(before_part), F.lit(0)).alias(f"{name}_at") for name in sums])
+    inside = parted.select("*", *[F.coalesce(F.sum(c).over(before_row), F.lit(0)).alias(f"{name}_in") for name, c in sums.items()])
+    added = inside.join(parts, ["range_part", *within]).withColumns({name: F.col(f"{name}_at") + F.col(f"{name}_in") for name in sums})
+    return written(added.drop("range_part", *[f"{name}_{end}" for name in sums for end in ("at", "in")]))
+
+
+def _long(value) -> Column:
+    return F.lit(value or 0).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -24,25 +49,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     in turn. What a stopped source cannot take is shared among the others by weight, until none is above its
     limit: with sources in the order of limit / weight, the stopped ones come first, so one pass finds them.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
+    ranked = _with_sums(sizes.select("source", "source_size"), [F.col("source").isNull(), F.col("source")], {"ahead": F.lit(1)})
     sources = (
-        sizes.withColumn("rank", F.row_number().over(order))
+        ranked.withColumn("rank", F.col("ahead") + 1)
         .withColumn("weight", F.element_at(F.lit(list(weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int")).cast("long"))
-        .withColumn("limit", F.col("source_size") * epochs)
+        .withColumn("limit", F.col("source_size") * epochs).withColumn("reached_at", F.col("limit") / F.col("weight"))
     )
-    by_limit = Window.orderBy(F.col("limit") / F.col("weight"), "rank")
-    before = by_limit.rowsBetween(Window.unboundedPreceding, -1)
-    sources = (
-        sources.withColumn("rest", F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0)))
-        .withColumn("shares", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    summed = _with_sums(sources, [F.col("reached_at"), F.col("rank")], {"limits": F.col("limit"), "weights": F.col("weight")})
+    every = summed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    found = (
+        summed.withColumn("rest", _long(every["size"]) - F.col("limits")).withColumn("shares", _long(every["weight"]) - F.col("weights"))
         .withColumn("stopped", F.col("limit") * F.col("shares") <= F.col("rest") * F.col("weight"))
     )
-    free = lambda name: F.first(F.when(~F.col("stopped"), F.col(name)), ignorenulls=True).over(by_limit.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return sources.select(
+    free = found.filter(~F.col("stopped")).agg(F.min(F.struct("reached_at", "rank", "rest", "shares")).alias("least")).first()["least"]
+    rest, shares = (free["rest"], free["shares"]) if free else (0, 1)
+    return found.select(
         "source", "source_size", "rank",
         F.when(F.col("stopped"), F.col("limit").cast("double"))
-        .otherwise((free("rest") * F.col("weight")).cast("double") / free("shares").cast("double")).alias("target"),
+        .otherwise((_long(rest) * F.col("weight")).cast("double") / _long(shares).cast("double")).alias("target"),
     )
 
 
@@ -54,23 +78,25 @@ def quotas(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> Data
     ranked: four to six per source on average, however many blocks there are. Since m seats are always among
     the first m + 1, the blocks of shard i are the difference of two of these numbers, each an integer.
     """
-    everything = Window.partitionBy()
+    sources = written(sources)
+    every = sources.agg(F.sum(F.col("target").cast("decimal(38,6)")).cast("double").alias("total"), F.count(F.lit(1)).alias("n")).first()
+    total = round(every["total"] or 0.0, 3)  # targets share a whole number of words
+    all_blocks = math.floor(total / block + 0.5)
     seats = (
-        sources.withColumn("total", F.sum("target").over(everything)).withColumn("n", F.count(F.lit(1)).over(everything))
-        .withColumn("all_blocks", F.floor(F.col("total") / block + 0.5))
-        .withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards))))
-        .withColumn("m", F.floor(F.col("all_blocks") * F.col("shard") / shards))
-        .withColumn("share", F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(0.0))
+        sources.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards))))
+        .withColumn("m", F.floor(_long(all_blocks) * F.col("shard") / shards))
+        .withColumn("share", F.col("target") / F.lit(total) if total > 0 else F.lit(0.0))
         .withColumn("about", F.floor(F.col("m") * F.col("share") + 0.5))
-        .withColumn("spread", F.ceil(2 * F.col("n") * F.col("share")) + 2)
+        .withColumn("spread", F.ceil(2 * _long(every["n"]) * F.col("share")) + 2)
         .withColumn("certain", F.greatest(F.col("about") - F.col("spread"), F.lit(0)))
-        .withColumn("open", F.col("m") - F.sum("certain").over(Window.partitionBy("shard")))
-    )
-    ranked = seats.withColumn("seat", F.explode(F.sequence(F.col("certain") + 1, F.col("about") + F.col("spread")))).withColumn(
-        "place", F.row_number().over(Window.partitionBy("shard").orderBy(F.desc(F.col("target") / (2 * F.col("seat") - 1)), "rank", "seat"))
     )
+    taken = {r["shard"]: r["m"] - r["certain"] for r in seats.groupBy("shard", "m").agg(F.sum("certain").alias("certain")).collect()}  # a row per shard
+    left = F.element_at(F.lit([taken.get(shard, 0) for shard in range(1, shards + 1)]).cast("array<long>"), F.col("shard"))
+    open_seats = seats.withColumn("seat", F.explode(F.sequence(F.col("certain") + 1, F.col("about") + F.col("spread")))).withColumn(
+        "below", -(F.col("target") / (2 * F.col("seat") - 1)))
+    ranked = _with_sums(open_seats, [F.col("below"), F.col("rank"), F.col("seat")], {"ahead": F.lit(1)}, within=("shard",))
     return ranked.groupBy("shard", "source", "rank", "source_size", "target").agg(
-        (F.min("certain") + F.sum(F.when((F.col("place") <= F.col("open")) & (F.col("target") > 0), 1).otherwise(0))).alias("blocks")
+        (F.min("certain") + F.sum(F.when((F.col("ahead") < left) & (F.col("target") > 0), 1).otherwise(0))).alias("blocks")
     )
 
 
@@ -94,8 +120,9 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tupl
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     sized = written(docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), key.alias("key"),
-    ).withColumn("part", F.substring("key", 1, KEY_DIGITS)))
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), key.alias("key")))
+    digits = max(1, math.ceil(math.log(max(1, sized.count() / PART_ROWS), 16)))
+    sized = sized.withColumn("part", F.substring("key", 1, digits))
 
     # Prefix sums in two levels: parts of a source, then rows of a part, so that no window holds a source.
     parts = written(sized.groupBy("source", "part").agg(F.sum("size").alias("part_size")))

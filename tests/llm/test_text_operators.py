@@ -1,6 +1,7 @@
 """Text operators against plain Python versions: nulls, ties, repeats, long and empty texts, clashing columns, empty tables."""
 
 import hashlib
+import heapq
 import math
 import random
 import re
@@ -591,3 +592,36 @@ def test_targets_and_quotas(spark):
     for source in sizes:
         steps = [r.blocks for r in sorted(given, key=lambda r: r.shard) if r.source == source]
         assert steps == sorted(steps) and abs(steps[-1] * 4 - found[source].target) <= 8
+
+
+def test_mix_of_many_sources_by_range_parts(spark):
+    rng = np.random.default_rng(4)
+    sizes = [(f"host{i:05d}", int(rng.integers(0, 40))) for i in range(3000)] + [("hot", 30000), (None, 7)]
+    table = spark.createDataFrame(sizes, "source string, source_size long").repartition(11)
+    found = mixing.targets(table).collect()
+    ordered = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
+    weight = {s[0]: i % 3 + 1 for i, s in enumerate(ordered)}
+    assert {r.source: r["rank"] for r in found} == {s[0]: i + 1 for i, s in enumerate(ordered)}
+    left, stopped, size = sum(s[1] for s in sizes), set(), dict(sizes)
+    while True:  # stop sources at their limit until none is above it
+        shares = sum(w for s, w in weight.items() if s not in stopped)
+        above = {s for s, w in weight.items() if s not in stopped and 3 * size[s] * shares <= left * w}
+        if not above:
+            break
+        stopped |= above
+        left -= sum(3 * size[s] for s in above)
+    for r in found:
+        assert r.target == pytest.approx(3 * size[r.source] if r.source in stopped else left * weight[r.source] / shares)
+    total = round(sum(r.target for r in found))
+    given = mixing.quotas(mixing.targets(table), block=4, shards=2).collect()
+    for shard in (1, 2):
+        m = math.floor(math.floor(total / 4 + 0.5) * shard / 2)
+        target = {r.source: (r.target, r["rank"]) for r in found if r.target > 0}
+        heap = [(-t, rank, source, 1) for source, (t, rank) in target.items()]
+        heapq.heapify(heap)
+        seats = dict.fromkeys(size, 0)
+        for _ in range(m):  # seat by seat, by the highest quotient
+            _, rank, source, seat = heapq.heappop(heap)
+            seats[source] += 1
+            heapq.heappush(heap, (-target[source][0] / (2 * seat + 1), rank, source, seat + 1))
+        assert {r.source: r.blocks for r in given if r.shard == shard} == seats
