@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from recordaudit.llm.hashing import Words, chunks, lean, mix, prefix, windows
-from recordaudit.session import ship
+from recordaudit.session import ship, written
 
 #: Word edits (changed, missing or added words) an item may differ by, as a share of its words.
 ERROR_RATE = 0.2
@@ -133,20 +134,24 @@ def search(index: Index, texts: list[bytes | None]) -> list[list[tuple[str, int,
     return out
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Items (item_id, text) in blocks of a bounded size, one at a time on the driver."""
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[bool, list[tuple[str, str]]]]:
+    """Items (item_id, text) in blocks of a bounded size, one at a time on the driver, each with whether it is the last."""
     known = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = int(2 * total // block_bytes) + 1
     for k in range(count):
         part = known if count == 1 else known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        yield [(r["item_id"], r["text"]) for r in part.distinct().toLocalIterator()]
+        yield k == count - 1, [(r["item_id"], r["text"]) for r in part.distinct().toLocalIterator()]
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
 
 
+def _row_texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column(0).field("text").cast(pa.binary()).to_pylist()
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_words: int = MIN_WORDS,
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, distance, first_word, last_word): items within their error budget of a stretch of a document.
@@ -154,15 +159,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_
     Words are runs of bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased, compared by 64-bit hashes. One
     row per document row and item, with the least distance. Items of fewer than ``min_words`` words are searched verbatim.
     Null or empty texts hold nothing; items without words aren't searched; repeated items count once; other columns are ignored; empty tables give no rows.
-    Documents are read in one pass without a shuffle per block of items; blocks are shipped to the tasks and
-    have a bounded size, so a benchmark of any size works.
+    Documents are read in one pass without a shuffle per block of items. Blocks have a bounded size and are run one
+    after the other: what a block finds is written and its broadcast dropped before the next one is built, so neither
+    the driver nor a task ever has more than one. Only the last block is left to the action on the result.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id string, distance long, first_word long, last_word long"
     result = spark.createDataFrame([], schema)
-    for block in _blocks(items, block_bytes):
+    for last, block in _blocks(items, block_bytes):
         shipped = spark.sparkContext.broadcast(build(block, rate, min_words))
 
         def look(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -174,23 +180,41 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_
                     [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))],
                     ["doc_id", "item_id", "distance", "first_word", "last_word"])
 
-        result = result.unionByName(rows.mapInArrow(lean(look), schema))
+        found = rows.mapInArrow(lean(look), schema)
+        if not last:
+            found = written(found)
+            shipped.destroy()
+        result = result.unionByName(found)
     return result
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_words: int = MIN_WORDS,
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of ``docs`` that hold no item, with all columns; see ``find_leaks``."""
+    """Rows of ``docs`` that hold no item, with all columns; see ``find_leaks``.
+
+    Rows stay in number and as they are: null and empty texts hold nothing, repeated rows stay or go together, and an
+    empty table gives an empty result. The texts that a block other than the last finds are written as hashes of 128 bits.
+    """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.struct("*").alias("row"))
-    for block in _blocks(items, block_bytes):
+    row, hashes = F.struct("*").alias("row"), (F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("leak"), "text").alias("h2"))
+    gone = None
+    for last, block in _blocks(items, block_bytes):
         shipped = spark.sparkContext.broadcast(build(block, rate, min_words))
 
-        def keep(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+        def split(batches: Iterator[pa.RecordBatch], texts_of, found: bool, shipped=shipped) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(0).field("text").cast(pa.binary()).to_pylist()
-                yield batch.filter(pa.array([not found for found in search(shipped.value, texts)], pa.bool_()))
-
-        rows = rows.mapInArrow(lean(keep), rows.schema)
-    return rows.select("row.*")
+                hits = search(shipped.value, texts_of(batch))
+                yield batch.filter(pa.array([bool(hit) == found for hit in hits], pa.bool_()))
+
+        if last:
+            rows = docs.select(row)
+            if gone is not None:
+                rows = docs.select(row, *hashes).join(gone.distinct(), ["h1", "h2"], "left_anti").select("row")
+            kept = rows.mapInArrow(lean(partial(split, texts_of=_row_texts, found=False)), rows.schema)
+        else:
+            texts = docs.select(*hashes, "text")
+            leaky = written(texts.mapInArrow(lean(partial(split, texts_of=_texts, found=True)), texts.schema).select("h1", "h2"))
+            gone = leaky if gone is None else gone.unionByName(leaky)
+            shipped.destroy()
+    return kept.select("row.*")

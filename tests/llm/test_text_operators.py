@@ -564,6 +564,9 @@ def test_leaks_equal_brute_force(spark, odd, none):
     kept = decontaminate.drop_leaks(docs, bench)
     assert kept.columns == docs.columns
     assert norm((r.doc_id, r.text) for r in kept.collect()) == norm((d, t) for d, t in rows if not brute.leaks(t, items))
+    order = lambda rows: sorted(tuple(r) for r in rows)
+    assert order(decontaminate.drop_leaks(docs, bench, block_bytes=2000).select("doc_id", "text").na.fill("").na.fill(-1).collect()) == order(
+        kept.select("doc_id", "text").na.fill("").na.fill(-1).collect())  # many blocks, one after the other
     assert decontaminate.find_leaks(none, bench).collect() == []
     assert decontaminate.drop_leaks(odd, bench.limit(0)).count() == len(odd_documents())
 
