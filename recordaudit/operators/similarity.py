@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from recordaudit.functions.scalars import as_number
 from recordaudit.operators import ranges
 from recordaudit.operators.encode import fitted
+from recordaudit.session import written
 from recordaudit.sources.schema import Spec
 
 REAL = "real"
@@ -61,14 +62,15 @@ def ks_complement(real: DataFrame, candidates: DataFrame, spec: Spec, columns=No
     """1 - largest gap between the cumulative shares, per model and numeric or datetime column.
 
     The gap can only peak at a candidate value or just before one, so the real cumulative count
-    is needed at candidate values only and is computed once for all models.
+    is needed at candidate values only and is computed once for all models. The counts are written once: bounds,
+    totals per range and running totals all start from them.
     """
     columns = list(columns or spec.numeric + spec.datetime)
     model = spec.model
     long = _numbers(real, candidates, spec, columns).unpivot(
         [model], columns, "column_name", "value").where(F.col("value").isNotNull())
-    counts = long.groupBy(model, "column_name", "value").agg(F.count("*").alias("n"))
-    steps = ranges.with_range(counts, "column_name", "value", ranges.numeric_bounds(long, "column_name", "value"))
+    counts = written(long.groupBy(model, "column_name", "value").agg(F.count("*").alias("n")))
+    steps = ranges.with_range(counts, "column_name", "value", ranges.numeric_bounds(counts, "column_name", "value"))
     is_real = F.col(model) == REAL
     steps = steps.withColumns({"n_real": F.when(is_real, F.col("n")).otherwise(0),
                                "n_cand": F.when(is_real, 0).otherwise(F.col("n"))})

@@ -41,3 +41,25 @@ def test_few_distances_are_computed_term_by_term(monkeypatch):
     rng = np.random.default_rng(4)
     neighbours._closest(rng.normal(size=(500, 6)), rng.normal(size=(2000, 6)), 2, None)
     assert 1000 <= sum(seen) < 1100  # two answers a query, of a million pairs
+
+
+def records(spark, seed, model=None):
+    rng = np.random.default_rng(seed)
+    rows = [(f"k{i}", *[None if rng.random() < 0.1 else float(v) for v in rng.normal(size=7).round(1)], int(rng.integers(2))) for i in range(150)]
+    frame = spark.createDataFrame(rows, "k string, " + ", ".join(f"x{i} double" for i in range(7)) + ", y int")
+    return frame if model is None else frame.selectExpr("*", f"'{model}' as model")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ks_starts_from_counts_that_are_written_once(spark):
+    scores = sim.ks_complement(records(spark, 1), records(spark, 2, "m"), SPEC)
+    assert "ExistingRDD" not in plan(scores)  # no branch of the plan reads records again
+    real, other = ([[r[f"x{i}"] for r in records(spark, s).collect() if r[f"x{i}"] is not None] for i in range(7)] for s in (1, 2))
+    for row in scores.collect():
+        a, b = real[int(row.column_name[1:])], other[int(row.column_name[1:])]
+        steps = sorted({*a, *b})
+        gap = max(abs(np.mean(np.array(a) <= v) - np.mean(np.array(b) <= v)) for v in steps)
+        assert row.score == pytest.approx(1 - gap)
