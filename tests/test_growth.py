@@ -63,3 +63,17 @@ def test_ks_starts_from_counts_that_are_written_once(spark):
         steps = sorted({*a, *b})
         gap = max(abs(np.mean(np.array(a) <= v) - np.mean(np.array(b) <= v)) for v in steps)
         assert row.score == pytest.approx(1 - gap)
+
+
+def test_correlation_of_many_pairs_is_compiled(spark):
+    real, other = records(spark, 1), records(spark, 2, "m")
+    scores = sim.correlation_similarity(real, other, SPEC)
+    scores.collect()
+    lines = [line for line in plan(scores).split("Initial Plan")[0].splitlines() if "HashAggregate(" in line and "corr" in line]
+    assert lines and all("*(" in line for line in lines)  # 21 pairs in one row have too many fields
+    own = {s: t.toPandas()[[f"x{i}" for i in range(7)]].astype(float).corr() for s, t in (("real", real), ("m", other))}
+    found = scores.collect()
+    assert len(found) == 21
+    for row in found:
+        assert row.r == pytest.approx(own["m"].loc[row.column_a, row.column_b])
+        assert row.r_real == pytest.approx(own["real"].loc[row.column_a, row.column_b])
