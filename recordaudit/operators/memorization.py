@@ -42,10 +42,15 @@ def dcr_stats(dcr: DataFrame, model: str = "model") -> DataFrame:
 
 
 def dcr_ratio(stats: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Compare with the mean distance between real rows; a ratio below 1 is flagged."""
+    """Compare with the mean distance between real rows; a ratio below 1 is flagged.
+
+    Where every real row has an equal one the ratio is infinite, or NaN for candidates that are copies throughout.
+    """
     base = fitted(baseline.agg(F.avg("dcr").alias("mean")))["mean"]
+    mean = F.col("mean_dcr")
+    without = F.when(mean > 0, float("inf")).when(mean == 0, float("nan"))
     return (
         stats.withColumn("baseline_dcr", base)
-        .withColumn("dcr_ratio", F.col("mean_dcr") / F.col("baseline_dcr"))
+        .withColumn("dcr_ratio", F.when(base == 0, without).otherwise(mean / base))
         .withColumn("suspected", F.col("dcr_ratio") < 1)
     )

@@ -24,6 +24,9 @@ from recordaudit.session import written
 REGIONS = 4096
 SAMPLE_PER_BOX = 16
 GROUP_ROWS = 2048
+#: Boxes are cut by a sample, so about half hold more than ``GROUP_ROWS``; a group may have this many times as much before
+#: its points are cut into chunks (which copies the queries) or its queries are dealt out (which copies the points).
+GROUP_SLACK = 2
 #: Rows of one region that are placed, or compared with its boxes' edges, in one task.
 REGION_ROWS = 65536
 CELLS_AT_ONCE = 2_000_000
@@ -183,11 +186,21 @@ def _closest(queries: np.ndarray, points: np.ndarray, k: int, own: np.ndarray |
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
-def _search(asked: DataFrame, index: BoxIndex, k: int, exclude_self: bool) -> DataFrame:
-    """(key, neighbour, distance): the k closest points in every asked box chunk."""
+def _parts(rows: str):
+    """Number of groups that ``rows`` rows of one box are dealt to."""
+    return F.ceil(F.col(rows) / (GROUP_SLACK * GROUP_ROWS)).cast("int")
+
+
+def _search(asked: DataFrame, index: BoxIndex, k: int, exclude_self: bool, carry: list[str], schema: str, answer) -> DataFrame:
+    """What ``answer`` makes of the k closest points in every asked box chunk.
+
+    ``answer`` gets a chunk's queries (key, features, region, box, chunks and ``carry``) with the row numbers of queries,
+    neighbours and distances that were found. A box without points is one chunk in which nothing is found.
+    """
     key, features, box = index.key, index.features, ["region", "box"]
-    plan = written(asked.groupBy(*box).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("repeats")).join(
-        index.edges.select(*box, F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("chunks")), box))
+    plan = written(asked.groupBy(*box).agg(F.count("*").alias("asked")).join(
+        index.edges.select(*box, "n"), box, "left").select(
+            *box, _parts("asked").alias("repeats"), F.coalesce(_parts("n"), F.lit(1)).alias("chunks")))
 
     def numbers(name):
         return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
@@ -199,25 +212,58 @@ def _search(asked: DataFrame, index: BoxIndex, k: int, exclude_self: bool) -> Da
     group = [*box, "chunk", "repeat"]
 
     def closest(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or points.empty:
-            return pd.DataFrame({key: [], "neighbour": [], "distance": []}).astype(
-                {key: str, "neighbour": str, "distance": float})
-        points = points.sort_values(key, ignore_index=True)
-        own = pd.Index(points[key]).get_indexer(queries[key]) if exclude_self else None
-        q, p, distance = _closest(queries[features].to_numpy(dtype=float),
-                                  points[features].to_numpy(dtype=float), k, own)
-        return pd.DataFrame({key: queries[key].to_numpy()[q], "neighbour": points[key].to_numpy()[p],
-                             "distance": distance})
+        q, neighbours, distance = np.zeros(0, dtype=int), np.zeros(0, dtype=object), np.zeros(0)
+        if len(queries) and len(points):
+            points = points.sort_values(key, ignore_index=True)
+            own = pd.Index(points[key]).get_indexer(queries[key]) if exclude_self else None
+            q, p, distance = _closest(queries[features].to_numpy(dtype=float),
+                                      points[features].to_numpy(dtype=float), k, own)
+            neighbours = points[key].to_numpy()[p]
+        return answer(queries, q, neighbours, distance)
 
     return (
-        left.select(*group, key, *features).groupBy(*group)
+        left.select(*group, key, *features, "chunks", *carry).groupBy(*group)
         .cogroup(right.select(*group, key, *features).groupBy(*group))
-        .applyInPandas(closest, f"{key} string, neighbour string, distance double")
+        .applyInPandas(closest, schema)
     )
 
 
+def _at_home(queries: DataFrame, index: BoxIndex, k: int, exclude_self: bool) -> DataFrame:
+    """The (placed) queries with ``best``, what they find in their own box, and ``reach``, the k-th distance (null: fewer found).
+
+    A query comes out of its task as it is, with its features; only those of boxes with several chunks are put together.
+    """
+    key, features = index.key, index.features
+    columns = [key, *features, "region", "box"]
+
+    def answer(rows: pd.DataFrame, q, neighbours, distance) -> pd.DataFrame:
+        ends = np.searchsorted(q, np.arange(len(rows)), side="right")
+        starts = np.concatenate([[0], ends])[:len(rows)]
+        return rows[[*columns, "chunks"]].assign(
+            distances=[distance[a:b] for a, b in zip(starts, ends)], neighbours=[neighbours[a:b] for a, b in zip(starts, ends)])
+
+    schema = f"{_schema(key, features)}, region int, box int, chunks int, distances array<double>, neighbours array<string>"
+    found = written(_search(queries, index, k, exclude_self, [], schema, answer))
+    one = found.select(*columns, "chunks", F.arrays_zip(F.col("distances").alias("distance"), F.col("neighbours").alias("neighbour")).alias("best"))
+    many = one.where("chunks > 1").groupBy(*columns).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    best = one.where("chunks = 1").drop("chunks").unionByName(many)
+    return best.withColumn("reach", F.when(F.size("best") >= k, F.element_at("best", k)["distance"]))
+
+
+def _improved(asked: DataFrame, index: BoxIndex, k: int, exclude_self: bool) -> DataFrame:
+    """(key, neighbour, distance) of the points in the asked boxes that may be among the k closest: within the query's ``reach``."""
+    key = index.key
+
+    def answer(rows: pd.DataFrame, q, neighbours, distance) -> pd.DataFrame:
+        near = distance <= rows["reach"].fillna(np.inf).to_numpy(dtype=float)[q]
+        return pd.DataFrame({key: rows[key].to_numpy()[q[near]], "neighbour": neighbours[near], "distance": distance[near]}).astype(
+            {key: object, "neighbour": object, "distance": float})
+
+    return _search(asked, index, k, exclude_self, ["reach"], f"{key} string, neighbour string, distance double", answer)
+
+
 def _best(found: DataFrame, key: str, k: int) -> DataFrame:
-    """Keep the k best per query; a query has at most k entries per box chunk it visited."""
+    """Keep the k best per query, of its own box's and those that other boxes gave within reach."""
     entry = F.struct("distance", "neighbour")
     if k == 1:
         return found.groupBy(key).agg(F.array(F.min(entry)).alias("best"))
@@ -311,7 +357,7 @@ def box_index(points: DataFrame, key: str, features, keep: int = 1) -> BoxIndex:
 
 
 def _elsewhere(bounded: DataFrame, index: BoxIndex) -> DataFrame:
-    """(key, features, region, box): boxes other than its own that a query with this ``reach`` must visit."""
+    """(key, features, reach, region, box): boxes other than its own that a query with this ``reach`` must visit."""
     key, features, extents = index.key, index.features, index.regions
     schema = f"{_schema(key, features)}, reach double, own_region int, own_box int, region int"
 
@@ -338,7 +384,7 @@ def _elsewhere(bounded: DataFrame, index: BoxIndex) -> DataFrame:
 
         edges = index.edges.select("region", "box", *[f"{c}_{end}" for end in ("low", "high") for c in features])
         away = _in_regions(written(away), edges, key, boxes_in_reach, f"{schema}, box int")
-    return away.where(~own).select(key, *features, "region", "box")
+    return away.where(~own).select(key, *features, "reach", "region", "box")
 
 
 def nearest(queries: DataFrame, points: DataFrame | BoxIndex, key: str, features, k: int = 1,
@@ -353,15 +399,10 @@ def nearest(queries: DataFrame, points: DataFrame | BoxIndex, key: str, features
     if (index.key, index.features) != (key, features) or index.keep < k + int(exclude_self):
         raise ValueError("the index was built for another key, other features or fewer answers")
     queries = written(_with_box(queries.select(_columns(key, features)), key, features, index.tree, index.trees))
-    at_home = _search(queries, index, k, exclude_self)
-    if index.regions["boxes"].sum() <= 1:
-        found = at_home
-    else:
-        home = written(_best(at_home, key, k))
-        reach = F.when(F.size("best") >= k, F.element_at("best", k)["distance"])
-        bounded = queries.join(home, key, "left").select(key, *features, reach.alias("reach"), "region", "box")
-        elsewhere = _search(written(_elsewhere(bounded, index)), index, k, exclude_self)
-        found = home.select(key, F.explode("best").alias("entry")).select(
-            key, "entry.neighbour", "entry.distance").unionByName(elsewhere)
+    home = _at_home(queries, index, k, exclude_self)
+    found = home.select(key, F.explode("best").alias("entry")).select(key, "entry.neighbour", "entry.distance")
+    if index.regions["boxes"].sum() > 1:
+        asked = written(_elsewhere(home.select(key, *features, "reach", "region", "box"), index))
+        found = found.unionByName(_improved(asked, index, k, exclude_self))
     return _best(found, key, k).select(key, F.posexplode("best").alias("rank", "entry")).select(
         key, (F.col("rank") + 1).alias("rank"), "entry.neighbour", "entry.distance")

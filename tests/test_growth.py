@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from recordaudit.operators import neighbours, similarity as sim
+from recordaudit.operators import memorization, neighbours, similarity as sim
 from recordaudit.sources.schema import Spec
 
 SPEC = Spec(key="k", model="model", label="y", categorical=("y",), numeric=tuple(f"x{i}" for i in range(7)), datetime=())
@@ -77,3 +77,74 @@ def test_correlation_of_many_pairs_is_compiled(spark):
     for row in found:
         assert row.r == pytest.approx(own["m"].loc[row.column_a, row.column_b])
         assert row.r_real == pytest.approx(own["real"].loc[row.column_a, row.column_b])
+
+
+def boxed(spark, monkeypatch, points):
+    """An index over ``points`` with groups of 20 rows, and the points as queries in their boxes."""
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 20)
+    frame = spark.createDataFrame([(f"p{i:03}", *map(float, p)) for i, p in enumerate(points)], "k string, a double, b double")
+    index = neighbours.box_index(frame, "k", ["a", "b"], keep=2)
+    return index, neighbours._with_box(frame, "k", ["a", "b"], index.tree, index.trees)
+
+
+def all_pairs(points, k):
+    found = plain(points, points, k, np.arange(len(points)))
+    return sorted((f"p{i:03}", f"p{p:03}", d) for i, p, d in found)
+
+
+def test_a_box_somewhat_over_its_share_is_one_group(spark, monkeypatch):
+    points = np.random.default_rng(5).normal(size=(39, 2))
+    index, asked = boxed(spark, monkeypatch, points)
+    plan_rows = []
+    monkeypatch.setattr(neighbours, "written", lambda df, exact=neighbours.written: (lambda t: (plan_rows.append(t), t)[1])(exact(df)))
+    neighbours._at_home(asked, index, 1, True)
+    plan = next(t for t in plan_rows if "repeats" in t.columns).collect()
+    assert plan and all(r.repeats == 1 and r.chunks == 1 for r in plan)
+
+
+def test_boxes_in_chunks_give_the_answers_of_all_pairs(spark, monkeypatch):
+    points = np.random.default_rng(6).normal(size=(150, 2)).round(1)  # ties and copies
+    index, asked = boxed(spark, monkeypatch, points)
+    monkeypatch.setattr(neighbours, "GROUP_SLACK", 0.25)  # every box has chunks and repeats
+    frame = asked.select("k", "a", "b")
+    found = neighbours.nearest(frame, index, "k", ["a", "b"], 1, exclude_self=True)
+    got = sorted((r.k, r.distance) for r in found.collect())
+    assert got == [(k, d) for k, _, d in all_pairs(points, 1)]
+
+
+def test_other_boxes_give_only_what_is_within_reach(spark, monkeypatch):
+    points = np.random.default_rng(7).normal(size=(200, 2))
+    index, placed = boxed(spark, monkeypatch, points)
+    home = neighbours.written(neighbours._at_home(placed, index, 1, True))
+    assert home.count() == 200  # a row per query, with its features, so that nothing is joined back
+    reach = {r.k: r.reach for r in home.collect()}
+    asked = neighbours._elsewhere(home.drop("best"), index)
+    improved = neighbours._improved(neighbours.written(asked), index, 1, True).collect()
+    assert all(r.distance <= reach[r.k] for r in improved)
+    assert len(improved) < asked.count() / 2
+    best = {r.k: r.best[0].distance for r in home.collect() if r.best}
+    for r in improved:
+        best[r.k] = min(best.get(r.k, np.inf), r.distance)
+    assert sorted(best.items()) == [(k, d) for k, _, d in all_pairs(points, 1)]
+
+
+def test_queries_in_a_box_without_points_are_answered(spark, monkeypatch):
+    index, _ = boxed(spark, monkeypatch, np.random.default_rng(8).normal(size=(100, 2)))
+    gone = index.placed.where("region <> 0")
+    index.placed, index.edges = gone, index.edges.where("region <> 0")
+    inside = neighbours.written(neighbours._with_box(
+        spark.createDataFrame([(f"q{i}", x, y) for i, (x, y) in enumerate(np.random.default_rng(9).normal(size=(60, 2)).tolist())],
+                              "k string, a double, b double"), "k", ["a", "b"], index.tree, None))
+    assert inside.where("region = 0").count()
+    points = {r.k: (r.a, r.b) for r in gone.collect()}
+    found = {r.k: r.distance for r in neighbours.nearest(inside.select("k", "a", "b"), index, "k", ["a", "b"]).collect()}
+    nearest = {r.k: min(float(np.hypot(r.a - a, r.b - b)) for a, b in points.values()) for r in inside.collect()}
+    assert found == pytest.approx(nearest, abs=1e-8)
+
+
+def test_ratio_is_given_where_every_real_row_has_a_copy(spark):
+    stats = spark.createDataFrame([("copies", 0.0), ("new", 0.5)], "model string, mean_dcr double")
+    real = spark.createDataFrame([("a", 0.0), ("b", 0.0)], "k string, dcr double")
+    got = {r.model: r for r in memorization.dcr_ratio(stats, real).collect()}
+    assert np.isnan(got["copies"].dcr_ratio) and got["new"].dcr_ratio == np.inf
+    assert not got["copies"].suspected and not got["new"].suspected
