@@ -54,3 +54,13 @@ def test_history_holds_every_version_of_the_full_table_once(spark, tmp_path):
     # Lines carry keys alone to their order and part: texts come after the versions are told apart.
     plan = versions._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("s_name") < plan.index("Aggregate") < plan.index("l_returnflag")
+
+
+def test_lines_meet_their_orders_as_keys_and_flags(spark, tmp_path):
+    folder = made(spark, tmp_path)
+    plan = fx.history(spark, folder)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join" in line and "l_orderkey" in line and "o_orderkey" in line]
+    assert len(joins) == 1
+    lines = plan[joins[0] + 1]
+    assert "AS ground" in lines and "l_orderkey" in lines and "l_suppkey" in lines and "l_partkey" not in lines
+    assert any("LeftSemi" in line and "l_partkey" in line for line in plan[joins[0]:])
